@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm.language_id import op9_language_id
+from kindred.llm.quality import op5_quality_classifier
+from kindred.llm.secrets import op2_secret_scan
 from kindred.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": op2_secret_scan,
+    "op5_quality_classifier": op5_quality_classifier,
     "op7_token_counts": op7_token_counts,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
