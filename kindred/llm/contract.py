@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kindred.llm.language_id import op9_language_id
 from kindred.llm.lm_scoring import op4_lm_scoring
+from kindred.llm.near_dedup import op1_embedding_near_dedup
 from kindred.llm.quality import op5_quality_classifier
 from kindred.llm.secrets import op2_secret_scan
 from kindred.llm.token_counts import op7_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
