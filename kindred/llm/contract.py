@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm.jaccard_join import op3_ngram_jaccard_join
 from kindred.llm.language_id import op9_language_id
 from kindred.llm.lm_scoring import op4_lm_scoring
 from kindred.llm.near_dedup import op1_embedding_near_dedup
@@ -16,6 +17,7 @@ from kindred.llm.token_counts import op7_token_counts
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_near_dedup": op1_embedding_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op7_token_counts": op7_token_counts,
