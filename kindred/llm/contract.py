@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kindred.llm.decontamination import op6_benchmark_decontamination
 from kindred.llm.jaccard_join import op3_ngram_jaccard_join
 from kindred.llm.language_id import op9_language_id
 from kindred.llm.lm_scoring import op4_lm_scoring
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
 }
