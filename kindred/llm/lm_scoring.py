@@ -21,8 +21,10 @@ baseline has V = N = 0.  Repeated ids are scored row by row.  Further columns ne
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from kindred.llm.common import fold, lowered, materialise, table, text_chunks
 
 ORDER = 5
-#: Nodes kept at each order of the broadcast trie (16 bytes each), and words looked up in place.
+#: Nodes kept at each order of the broadcast trie (16 bytes each, about 70 more in a task), and words looked up in place.
 CAPACITY, HEAD = 1 << 20, 1 << 16
 #: Neither byte occurs in UTF-8.
 START, END = 0xFE, 0xFF
@@ -64,7 +66,7 @@ class _Table:
     """uint64 keys to row numbers, by open addressing in arrays."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(2 * len(keys) + 1).bit_length())
+        self.bits = max(4, int(4 * len(keys) // 3 + 1).bit_length())
         size = 1 << self.bits
         self.keys = np.zeros(size, np.uint64)
         self.value = np.full(size, -1, np.int32)
@@ -96,10 +98,29 @@ class _Table:
         return out
 
 
+class Trie(NamedTuple):
+    """What a model is made of and broadcast as: grams[k], counts[k]; tasks make the ``PretrainedModel`` from it."""
+
+    grams: list[np.ndarray]
+    counts: list[np.ndarray]
+
+
+_made: dict[str, PretrainedModel] = {}
+
+
+def made(trie: Trie, key: str) -> PretrainedModel:
+    """The model of a trie, kept for one trie at a time in each worker."""
+    if key not in _made:
+        _made.clear()
+        _made[key] = PretrainedModel(*trie)
+    return _made[key]
+
+
 class PretrainedModel:
     """Static PPM with exclusion.  grams[k], counts[k]: windows of k context bytes and a symbol, sorted, and their counts."""
 
     def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray]):
+        counts = [c.astype(np.float64) for c in counts]
         self.order = len(grams) - 1
         self.nodes, self.cost, self.contexts = [], [], []
         self.escape, self.next_denominator, self.next_escape = [], [], []
@@ -195,8 +216,8 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[start], np.add.reduceat(n, start) if len(start) else n
 
 
-def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_col: str = "text") -> PretrainedModel:
-    """Count windows over all of ``docs`` and make the trie."""
+def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_col: str = "text") -> Trie:
+    """Count windows over all of ``docs``: the context trie."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -223,12 +244,12 @@ def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_co
         got = _fitting(level, capacity)
         keys = got["gram"].to_numpy(np.int64).view(np.uint64)
         at = np.argsort(keys)
-        grams.append(keys[at]), counts.append(got["n"].to_numpy(np.float64)[at])
+        grams.append(keys[at]), counts.append(got["n"].to_numpy(np.int64)[at])
     grams, counts = grams[::-1], counts[::-1]
     for k in range(1, order + 1):  # a node stays only if the same symbol stayed after the shorter context
         stays = np.isin(grams[k] & np.uint64(_mask(k - 1)), grams[k - 1])
         grams[k], counts[k] = grams[k][stays], counts[k][stays]
-    return PretrainedModel(grams, counts)
+    return Trie(grams, counts)
 
 
 def _fitting(level: DataFrame, capacity: int) -> pd.DataFrame:
@@ -264,15 +285,17 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def score(docs: DataFrame, model: PretrainedModel, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Trie, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
     head = {bytes(r["word"]): r["n"] for r in counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    key = uuid.uuid4().hex
     held = spark.sparkContext.broadcast((model, head, math.log10(totals["ends"] + 1), totals["ends"] > 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, common, end_log, end_known = held.value
+        trie = made(trie, key)
         log = {w: math.log10(c + 1) for w, c in common.items()}
         for batch in batches:
             ids = batch.column(0)
