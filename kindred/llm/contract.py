@@ -10,6 +10,8 @@ from kindred.llm.decontamination import op6_benchmark_decontamination
 from kindred.llm.jaccard_join import op3_ngram_jaccard_join
 from kindred.llm.language_id import op9_language_id
 from kindred.llm.lm_scoring import op4_lm_scoring
+from kindred.llm.mixing import ORACLE as MIXING_SQL
+from kindred.llm.mixing import op10_mixing_sources
 from kindred.llm.near_dedup import op1_embedding_near_dedup
 from kindred.llm.quality import op5_quality_classifier
 from kindred.llm.secrets import op2_secret_scan
@@ -24,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_counts": op7_token_counts,
     "op9_language_id": op9_language_id,
+    "op10_mixing_sources": op10_mixing_sources,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_mixing_sources": MIXING_SQL}
