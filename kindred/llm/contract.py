@@ -13,6 +13,7 @@ from kindred.llm.lm_scoring import op4_lm_scoring
 from kindred.llm.mixing import ORACLE as MIXING_SQL
 from kindred.llm.mixing import op10_mixing_sources
 from kindred.llm.near_dedup import op1_embedding_near_dedup
+from kindred.llm.pii import op8_pii_extraction
 from kindred.llm.quality import op5_quality_classifier
 from kindred.llm.secrets import op2_secret_scan
 from kindred.llm.token_counts import op7_token_counts
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_token_counts": op7_token_counts,
+    "op8_pii_extraction": op8_pii_extraction,
     "op9_language_id": op9_language_id,
     "op10_mixing_sources": op10_mixing_sources,
 }
