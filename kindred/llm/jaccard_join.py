@@ -318,6 +318,13 @@ def _tiled(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     return placed.select(*place, "tile", "fp", "comp", "n", "sketch").repartition(*place).sortWithinPartitions(*place)
 
 
+def drop_copies(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class, that of the least id; documents without a shingle stay, as do rows without an id."""
+    found = jaccard_classes(docs.where(F.col(id_col).isNotNull()), width, num, id_col, text_col)
+    gone = found.where("id != component_id").select(F.col("id").alias("__gone"))
+    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+
+
 WIDTH, NUM = 4, 85
 
 

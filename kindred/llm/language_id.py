@@ -131,6 +131,28 @@ def mixture(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[n
     return out, seen
 
 
+def predictions(texts: pa.Array, names: list[str], model: np.ndarray) -> Iterator[tuple[list[str], list[float], list[list[dict]]]]:
+    """(languages, scores, mixtures) of the rows of a column, in runs of rows."""
+    for first, end, data, offsets in text_chunks(texts, max(1 << 16, (1 << 23) // max(4, len(names)))):
+        own = texts.slice(first, end - first)
+        has_letter = np.logical_or.reduceat(np.append(((data | 32) >= 97) & ((data | 32) <= 122), False), np.minimum(offsets[:-1], len(data)))
+        has_letter &= np.diff(offsets) > 0
+        for k in np.flatnonzero(~has_letter & (np.diff(offsets) > 0)):
+            has_letter[k] = any(map(str.isalpha, own[int(k)].as_py()))
+        share = mixture(model, data, offsets)[0] if names else np.zeros((end - first, 1))
+        best = share.argmax(1)
+        pred, score, mixes = [], [], []
+        for k in range(end - first):
+            if not names or not has_letter[k]:
+                pred.append("und"), score.append(0.0), mixes.append([])
+                continue
+            order = [j for j in np.argsort(-share[k], kind="stable").tolist() if share[k, j] > 0]
+            pred.append(names[best[k]])
+            score.append(min(1.0, float(share[k, best[k]])))
+            mixes.append([{"lang": names[j], "share": float(share[k, j])} for j in order])
+        yield pred, score, mixes
+
+
 def identify(docs: DataFrame, names: list[str], model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, lang_pred, score (the share of that language in the mixture) and mix, an array of
     (lang, share) of the chosen set, largest first."""
@@ -139,29 +161,35 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), max(1 << 16, (1 << 23) // max(4, len(names)))):
-                texts = batch.column(1).slice(first, end - first)
-                has_letter = np.logical_or.reduceat(np.append(((data | 32) >= 97) & ((data | 32) <= 122), False), np.minimum(offsets[:-1], len(data))) if len(data) else np.zeros(end - first, bool)
-                has_letter &= np.diff(offsets) > 0
-                for k in np.flatnonzero(~has_letter & (np.diff(offsets) > 0)):
-                    has_letter[k] = any(map(str.isalpha, texts[int(k)].as_py()))
-                share = mixture(held.value, data, offsets)[0] if names else np.zeros((end - first, 1))
-                best = share.argmax(1)
-                pred, score, mixes = [], [], []
-                for k in range(end - first):
-                    if not names or not has_letter[k]:
-                        pred.append("und"), score.append(0.0), mixes.append([])
-                        continue
-                    order = [j for j in np.argsort(-share[k], kind="stable").tolist() if share[k, j] > 0]
-                    pred.append(names[best[k]])
-                    score.append(min(1.0, float(share[k, best[k]])))
-                    mixes.append([{"lang": names[j], "share": float(share[k, j])} for j in order])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, mix_type)], names=["id", "lang_pred", "score", "mix"])
+            first = 0
+            for pred, score, mixes in predictions(batch.column(1), names, held.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(pred)), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(mixes, mix_type)], names=["id", "lang_pred", "score", "mix"])
+                first += len(pred)
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double, mix array<struct<lang:string,share:double>>")
 
 
+def keep_identified(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``docs`` without the rows whose language can't be told (``und``); a null language becomes the one identified.
+
+    The columns stay as they are; rows keep their own label where they have one."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    columns = docs.columns
+    at, lang_at = columns.index(text_col), columns.index(lang_col) if lang_col in columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pred = [p for preds in predictions(batch.column(at), names, held.value) for p in preds[0]]
+            keep = pa.array([p != "und" for p in pred], pa.bool_())
+            arrays = list(batch.columns)
+            if lang_at is not None and arrays[lang_at].null_count:
+                arrays[lang_at] = pa.array([old if old is not None else new for old, new in zip(arrays[lang_at].to_pylist(), pred, strict=True)], arrays[lang_at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(keep)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 FOLDS, HELD_OUT = 5, 0
 
 
