@@ -35,6 +35,8 @@ TOPICS = (
 )
 OTHER_TOPIC = "prose"
 MARGINS = ("source", "lang", "topic")
+#: Pairs of language and topic whose factors the driver holds.
+MOST_PAIRS = 4096
 
 
 def topic_of(text: str = "text", rules: tuple[tuple[str, str], ...] = TOPICS) -> Column:
@@ -55,27 +57,69 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(NULL_NAME)))), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
+def _targets(observed: dict[str, float], name: str, targets: dict[str, DataFrame] | None, total: float) -> dict[str, float]:
+    """Token targets of a small marginal, from shares or tempered from what is observed."""
+    if targets and name in targets:
+        given = {NULL_NAME if r["value"] is None else str(r["value"]): float(r["share"] or 0) for r in targets[name].select("value", "share").limit(MOST_PAIRS + 1).collect()}
+        share = {v: given.get(v, 0.0) for v in observed}
+    else:
+        share = {v: t ** TEMPERATURE[name] if t else 0.0 for v, t in observed.items()}
+    whole = sum(share.values())
+    return {v: s / whole * total if whole else 0.0 for v, s in share.items()}
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
-    """cells(source, lang, topic, tokens) with probability, after ``sweeps`` rounds over the three marginals."""
-    cells = materialise(cells.withColumn("w", F.col("tokens").cast("double")), "cells")
-    wanted = {}
-    for name in MARGINS:
-        observed = cells.groupBy(name).agg(F.sum("tokens").alias("tokens"))
-        if targets and name in targets:
-            share = observed.join(targets[name].select(F.col("value").alias(name), F.col("share").cast("double").alias("t")), name, "left").select(name, F.coalesce("t", F.lit(0.0)).alias("t"))
-        else:
-            share = observed.select(name, F.pow(F.col("tokens").cast("double"), F.lit(TEMPERATURE[name])).alias("t"))
-        total = share.agg(F.sum("t").alias("all_t")).crossJoin(cells.agg(F.sum("tokens").cast("double").alias("all_tokens")))  # one row
-        wanted[name] = materialise(share.join(F.broadcast(total)).select(name, (F.col("t") / F.nullif(F.col("all_t"), F.lit(0.0)) * F.col("all_tokens")).alias("target")), f"target-{name}")
-    for sweep in range(sweeps):
-        for name in MARGINS:
-            factor = cells.groupBy(name).agg(F.sum("w").alias("s")).join(wanted[name], name).select(name, F.coalesce(F.col("target") / F.nullif(F.col("s"), F.lit(0.0)), F.lit(0.0)).alias("f"))
-            cells = cells.join(factor, name).withColumn("w", F.col("w") * F.col("f")).drop("f")
-        if sweep % 2 or sweep == sweeps - 1:
-            cells = materialise(cells, "raked")
-    factor = cells.select(*MARGINS, F.coalesce(F.col("w") / F.nullif(F.col("tokens").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("factor"))
-    top = factor.agg(F.least(F.lit(rate), 1 / F.nullif(F.max("factor"), F.lit(0.0))).alias("rate"))
-    return materialise(factor.join(F.broadcast(top)).select(*MARGINS, F.round(F.col("factor") * F.col("rate"), 9).alias("probability")), "probabilities")
+    """cells(source, lang, topic, tokens) with probability, after ``sweeps`` rounds over the three marginals.
+
+    Sources may be many: each is one row with its few (language, topic) cells, and its factor is worked out in the row.
+    Languages x topics are few (``MOST_PAIRS`` at most, checked): a sweep is one aggregation to these sums, from which their
+    factors follow."""
+    cells = materialise(cells, "cells")
+    pairs = cells.groupBy("lang", "topic").agg(F.sum("tokens").cast("double").alias("t")).limit(MOST_PAIRS + 1).collect()
+    if len(pairs) > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of language and topic")
+    total = sum(r["t"] for r in pairs)
+    observed: dict[str, dict[str, float]] = {"lang": {}, "topic": {}}
+    for r in pairs:
+        for m in observed:
+            observed[m][r[m]] = observed[m].get(r[m], 0.0) + r["t"]
+    wanted = {m: _targets(observed[m], m, targets, total) for m in observed}
+    rows = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens"), F.collect_list(F.struct("lang", "topic", F.col("tokens").cast("double").alias("w"))).alias("cells"))
+    if targets and "source" in targets:
+        rows = rows.join(targets["source"].select(F.col("value").cast("string").alias("source"), F.col("share").cast("double").alias("t")), "source", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))
+    else:
+        rows = rows.withColumn("t", F.pow("tokens", F.lit(TEMPERATURE["source"])))
+    rows = materialise(rows, "sources")
+    whole = rows.agg(F.sum("t")).first()[0]
+    share = F.col("t") * F.lit(total / whole if whole else 0.0)
+    factor = {(r["lang"], r["topic"]): 1.0 for r in pairs}
+
+    def in_row(factor: dict[tuple[str, str], float]) -> DataFrame:
+        """(source, lang, topic, tokens, scale, g): scale is the source's own factor."""
+        flat = [F.lit(x) for (lang, topic), v in sorted(factor.items()) for x in (f"{lang}\n{topic}", v)]
+        table = F.create_map(*flat) if flat else F.create_map().cast("map<string,double>")
+        weighed = F.transform("cells", lambda c: F.struct(c["lang"].alias("lang"), c["topic"].alias("topic"), c["w"].alias("w"), F.element_at(table, F.concat_ws("\n", c["lang"], c["topic"])).alias("g")))
+        sums = rows.select("source", share.alias("t"), weighed.alias("cells")).withColumn("s", F.aggregate("cells", F.lit(0.0), lambda a, c: a + c["w"] * c["g"]))
+        return sums.select("source", F.coalesce(F.col("t") / F.nullif("s", F.lit(0.0)), F.lit(0.0)).alias("scale"), F.explode("cells").alias("c")).select("source", "c.lang", "c.topic", F.col("c.w").alias("tokens"), "scale", F.col("c.g").alias("g"))
+
+    last = dict(factor)
+    for _ in range(sweeps):
+        last = dict(factor)
+        got = in_row(factor).groupBy("lang", "topic").agg(F.sum(F.col("tokens") * F.col("scale") * F.col("g")).alias("w")).collect()
+        sums = {(r["lang"], r["topic"]): r["w"] for r in got}
+        for place, m in enumerate(("lang", "topic")):
+            by: dict[str, float] = {}
+            for pair, w in sorted(sums.items()):
+                by[pair[place]] = by.get(pair[place], 0.0) + w
+            ratio = {v: wanted[m][v] / w if w else 0.0 for v, w in by.items()}
+            sums = {pair: w * ratio[pair[place]] for pair, w in sums.items()}
+            factor = {pair: f * ratio[pair[place]] for pair, f in factor.items()}
+    flat = [F.lit(x) for (lang, topic), v in sorted(factor.items()) for x in (f"{lang}\n{topic}", v)]
+    final = F.element_at(F.create_map(*flat) if flat else F.create_map().cast("map<string,double>"), F.concat_ws("\n", "lang", "topic"))
+    raked = materialise(in_row(last).select("source", "lang", "topic", F.when(F.col("tokens") > 0, F.col("scale") * final).otherwise(1.0).alias("factor")), "raked")
+    top = raked.agg(F.max("factor")).first()[0]
+    level = min(rate, 1 / top) if top else rate
+    return raked.select(*MARGINS, F.round(F.col("factor") * F.lit(level), 9).alias("probability"))
 
 
 def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
