@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from kindred.llm.common import fold, lowered, materialise, table, text_chunks
 
 ORDER = 5
-#: Nodes kept at each order of the broadcast trie (16 bytes each, about 70 more in a task), and words looked up in place.
-CAPACITY, HEAD = 1 << 20, 1 << 16
+#: Nodes kept at each order of the broadcast trie (12 bytes each, about 70 more in a task), and words looked up in place.
+CAPACITY, HEAD = 1 << 19, 1 << 16
 #: Neither byte occurs in UTF-8.
 START, END = 0xFE, 0xFF
 
@@ -244,7 +244,8 @@ def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_co
         got = _fitting(level, capacity)
         keys = got["gram"].to_numpy(np.int64).view(np.uint64)
         at = np.argsort(keys)
-        grams.append(keys[at]), counts.append(got["n"].to_numpy(np.int64)[at])
+        grams.append(keys[at]), counts.append(got["n"].to_numpy(np.float32)[at])
+        del got, keys, at
     grams, counts = grams[::-1], counts[::-1]
     for k in range(1, order + 1):  # a node stays only if the same symbol stayed after the shorter context
         stays = np.isin(grams[k] & np.uint64(_mask(k - 1)), grams[k - 1])
@@ -289,7 +290,8 @@ def score(docs: DataFrame, model: Trie, counts: DataFrame, id_col: str = "doc_id
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score."""
     spark = docs.sparkSession
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
-    head = {bytes(r["word"]): r["n"] for r in counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).collect()}
+    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    head = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
     key = uuid.uuid4().hex
     held = spark.sparkContext.broadcast((model, head, math.log10(totals["ends"] + 1), totals["ends"] > 0))
 
