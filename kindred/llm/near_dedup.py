@@ -3,8 +3,8 @@
 On unit vectors, cosine >= t is distance <= r = sqrt(2 - 2t).  The tree's top is a net fitted on a bounded sample (at most
 ``SAMPLE`` vectors, the smallest hashes): centres at halving radii, of which the last level holds at most ``CENTRES``.  Every
 vector is indexed under its nearest centre; a centre's vectors are dealt by hash into nodes of about ``NODE_ROWS``, so a hot
-region is many nodes, not one.  Within a node a task builds the lower levels: nested nets of radii 2r, r, r/2 and r/4, each
-made of members of the one above, with exact covering radii.
+region is many nodes, not one.  Within a node one task grows the lower levels: nested nets of radii 2r, r, r/2 and r/4, each
+made of members of the one above, with exact covering radii; rows carry their groups from there on.
 
 Node pairs are pruned by d(centres) > r + both covering radii.  Each pair that is left goes to one task, which walks both trees
 together: pairs of nets are dropped when even their nearest members are too far, counted as a whole when even their farthest
@@ -95,40 +95,61 @@ def top(sample: np.ndarray, reach: float) -> np.ndarray:
     return sample[best]
 
 
+def grow(x: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """The nets of one node: each row's group at each level (numbered so that children follow their parent's order), and
+    whether the row is that group's centre."""
+    label, centre = np.zeros((len(x), LEVELS), np.int32), np.zeros((len(x), LEVELS), bool)
+    groups, radius = [np.arange(len(x))], 2 * reach
+    for level in range(LEVELS):
+        finer: list[np.ndarray] = []
+        for rows in groups:
+            if len(rows) == 1:
+                label[rows, level], centre[rows, level] = len(finer), True
+                finer.append(rows)
+                continue
+            own = net(x[rows], radius)
+            nearest = np.concatenate([(x[rows[k : k + BLOCK]] @ x[rows[own]].T).argmax(1) for k in range(0, len(rows), BLOCK)])
+            nearest[own] = np.arange(len(own))
+            order = np.argsort(nearest, kind="stable")
+            cut = np.searchsorted(nearest[order], np.arange(len(own) + 1))
+            label[rows, level] = len(finer) + nearest
+            centre[rows[own], level] = True
+            finer += [rows[order[a:b]] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        groups, radius = finer, radius / 2
+    return label, centre
+
+
 class Tree:
-    """Nested nets over the vectors of one node.  level[l]: centre rows, member groups and covering radii."""
+    """A node's vectors with the nets that ``grow`` found: centres, exact covering radii, members and children by level."""
 
-    def __init__(self, x: np.ndarray, reach: float):
+    def __init__(self, x: np.ndarray, label: np.ndarray, centre: np.ndarray):
         self.x = x
-        groups = [np.arange(len(x))]
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []  # centres' rows, covering radii
-        self.children: list[list[np.ndarray]] = []  # of each group of the level above: indices into this level
-        self.members: list[list[np.ndarray]] = []
-        radius = 2 * reach
-        for _ in range(LEVELS):
-            centres, radii, members, children = [], [], [], []
-            for rows in groups:
-                first = len(centres)
-                if len(rows) == 1:
-                    centres.append(int(rows[0])), radii.append(0.0), members.append(rows)
-                else:
-                    own = net(x[rows], radius)
-                    cos = np.concatenate([x[rows[k : k + BLOCK]] @ x[rows[own]].T for k in range(0, len(rows), BLOCK)])
-                    nearest = cos.argmax(1)
-                    nearest[own] = np.arange(len(own))
-                    order = np.argsort(nearest, kind="stable")
-                    cut = np.searchsorted(nearest[order], np.arange(len(own) + 1))
-                    far = np.sqrt(np.maximum(0, 2 - 2 * cos[np.arange(len(rows)), nearest]))
-                    far[own] = 0
-                    for k in range(len(own)):
-                        inside = order[cut[k] : cut[k + 1]]
-                        centres.append(int(rows[own[k]])), radii.append(float(far[inside].max())), members.append(rows[inside])
-                children.append(np.arange(first, len(centres)))
-            self.levels.append((np.array(centres), np.array(radii)))
-            self.children.append(children)
-            self.members.append(members)
-            groups = members
-            radius /= 2
+        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
+        self._order, self._cut, self._child = [], [], []
+        for level in range(LEVELS):
+            own = label[:, level]
+            order = np.argsort(own, kind="stable")
+            n = int(own.max()) + 1
+            cut = np.searchsorted(own[order], np.arange(n + 1))
+            at = np.zeros(n, np.int64)
+            rows = np.flatnonzero(centre[:, level])
+            at[own[rows]] = rows
+            far = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", x, x[at[own]])))
+            far[rows] = 0
+            self.levels.append((at, np.maximum.reduceat(far[order], cut[:-1])))
+            self._order.append(order), self._cut.append(cut)
+            up = label[at, level - 1] if level else np.zeros(n, np.int32)
+            self._child.append(np.searchsorted(up, np.arange(int(up.max()) + 2)))
+
+    def size(self, level: int) -> np.ndarray:
+        return np.diff(self._cut[level])
+
+    def members(self, level: int, group: int) -> np.ndarray:
+        return self._order[level][self._cut[level][group] : self._cut[level][group + 1]]
+
+    def children(self, level: int, group: int) -> np.ndarray:
+        """Groups of ``level`` inside a group of the level above."""
+        return np.arange(self._child[level][group], self._child[level][group + 1])
 
 
 def _join(parent: np.ndarray, a: int, b: int) -> None:
@@ -162,7 +183,7 @@ def dual(left: Tree, right: Tree, same: bool, threshold: float) -> tuple[np.ndar
         whole = np.where(both_single, cos >= threshold, far + ra + rb <= reach - SLACK)
         split = ~whole & ~both_single & (far - ra - rb <= reach + SLACK)
         for k in np.flatnonzero(whole).tolist():
-            own, other = left.members[level][a[k]], right.members[level][b[k]]
+            own, other = left.members(level, a[k]), right.members(level, b[k])
             if same and a[k] == b[k]:
                 counts_l[own] += len(own) - 1
             else:
@@ -177,7 +198,7 @@ def dual(left: Tree, right: Tree, same: bool, threshold: float) -> tuple[np.ndar
         if level + 1 < LEVELS:
             next_a, next_b = [], []
             for k in rest.tolist():
-                ka, kb = left.children[level + 1][a[k]], right.children[level + 1][b[k]]
+                ka, kb = left.children(level + 1, a[k]), right.children(level + 1, b[k])
                 x, y = np.repeat(ka, len(kb)), np.tile(kb, len(ka))
                 if same and a[k] == b[k]:
                     x, y = x[x <= y], y[x <= y]
@@ -189,7 +210,7 @@ def dual(left: Tree, right: Tree, same: bool, threshold: float) -> tuple[np.ndar
                 visit(level + 1, np.concatenate(next_a), np.concatenate(next_b))
             return
         for k in rest.tolist():  # leaves: single vectors, in blocks
-            own, other = left.members[level][a[k]], right.members[level][b[k]]
+            own, other = left.members(level, a[k]), right.members(level, b[k])
             for lo in range(0, len(own), BLOCK):
                 part = own[lo : lo + BLOCK]
                 near = left.x[part] @ right.x[other].T >= threshold
@@ -212,7 +233,7 @@ def dual(left: Tree, right: Tree, same: bool, threshold: float) -> tuple[np.ndar
         keep = 2 - 2 * cos <= bound * bound
         if same:
             keep &= part[:, None] <= np.arange(len(cb))[None]
-            own = np.flatnonzero(keep[np.arange(len(part)), part] & (ra[part] == 0))
+            own = np.flatnonzero(keep[np.arange(len(part)), part] & (left.size(0)[part] == 1))
             keep[own, part[own]] = False  # a single vector has no link with itself
         i, j = np.nonzero(keep)
         decide(0, part[i], j, cos[i, j], ra[part[i]], rb[j])
@@ -290,12 +311,19 @@ def _links(rows: DataFrame, threshold: float, reach: float, kind: str, width: in
     plan = spark.createDataFrame(pd.DataFrame({"node": range(len(nodes)), "pairs": joins}), "node int, pairs array<int>")
     deals = spark.createDataFrame(pd.DataFrame([(c, k, p) for c, (k, p) in deal.items()], columns=["cell", "first", "parts"]), "cell int, first int, parts int")
     noded = placed.join(F.broadcast(deals), "cell").select("id", "v", (F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("parts"))).cast("int").alias("node"))
-    paired = noded.join(F.broadcast(plan), "node").select("id", "v", "node", F.explode("pairs").alias("pair"))
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, centre = grow(np.frombuffer(b"".join(pdf["v"]), np.float64).reshape(len(pdf), -1), reach)
+        return pdf.assign(nets=[row.tobytes() for row in np.concatenate((found, centre.astype(np.int32)), axis=1)])
+
+    grown = noded.groupBy("node").applyInPandas(label, f"id {kind}, v binary, node int, nets binary")
+    paired = grown.join(F.broadcast(plan), "node").select("id", "v", "node", "nets", F.explode("pairs").alias("pair"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node", "id"], kind="stable")
         sides = [g for _, g in pdf.groupby("node", sort=True)]
-        trees = [Tree(np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1), reach) for g in sides]
+        nets = [np.frombuffer(b"".join(g["nets"]), np.int32).reshape(len(g), -1) for g in sides]
+        trees = [Tree(np.frombuffer(b"".join(g["v"]), np.float64).reshape(len(g), -1), n[:, :LEVELS], n[:, LEVELS:] > 0) for g, n in zip(sides, nets, strict=True)]
         own = first_pair_is_self(int(pdf["pair"].iloc[0]))
         if not own and len(sides) < 2:
             return pd.DataFrame({"id": [], "n": [], "other": []})
