@@ -94,6 +94,16 @@ def units_without_clones(units: DataFrame, own: DataFrame) -> DataFrame:
     return units.join(own, "unit_id", "left_anti")
 
 
+def fragments_ordered(frags: DataFrame) -> DataFrame:
+    """Fragments with their rank in the order unit, partner, start, end, pair, side."""
+    return ranked(frags, [F.asc(c) for c in ("unit_id", "partner_id", "from_stmt", "to_stmt", "pair_id", "side")], "ord")
+
+
+def first_fragments(ordered: DataFrame) -> DataFrame:
+    """The least rank of each unit's fragments."""
+    return ordered.groupBy("unit_id").agg(F.min("ord").alias("first"))
+
+
 def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
     """Distinct values with dense 0-based ids in their order."""
     return ranked(df.select(column).distinct(), [F.asc(column)], name)
