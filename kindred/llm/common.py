@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,29 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kindred.storage import materialise, shared_dir
+
+__all__ = ["WORD", "fold", "hash_spans", "lowered", "materialise", "mix", "shared_dir", "shingles", "table", "text_chunks", "word_spans"]
+
 #: Words are runs of anything but ASCII white space (one pattern for Java, Python and DuckDB).
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder (tests on one machine).
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fold(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo ``modulus``."""
     return F.pmod(F.crc32(key.cast("string")), F.lit(modulus))

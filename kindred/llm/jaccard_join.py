@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from kindred.llm.common import hash_spans, lowered, materialise, mix, shingles, table, text_chunks, word_spans
-from kindred.llm.components import components
+from kindred.operators.components import components
 
 BITS = 1024
 TILE = 2048
+#: Ids that are broadcast to pick texts (16 bytes each); more meet the texts in a shuffle join.
+BROADCAST_IDS = 1 << 20
 #: Chance, at most, that a set has more empty blocks than its band provides for (it then gives those too).
 SPARE = 1e-4
 
@@ -179,7 +181,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 cut = np.concatenate(([0], np.cumsum(sizes)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([value[cut[k] : cut[k + 1]].tobytes() for k in range(len(sizes))], pa.binary())], names=["fp", "shingles"])
 
-    return docs.join(wanted, "id").select("fp", "text").mapInArrow(run, "fp bigint, shingles binary")
+    return docs.join(_small(wanted), "id").select("fp", "text").mapInArrow(run, "fp bigint, shingles binary")
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are at most ``BROADCAST_IDS``, so that texts need not move; else as it is, for a shuffle join."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def near_enough(pairs: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
@@ -218,53 +225,105 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
 def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
     """rows(key, ti, tj, tile, fp, comp, n, sketch), a tile pair's rows together: candidate pairs across components.
 
-    ``nearest``: only each set's nearest member of each other component, else all that sizes and sketches allow."""
+    ``nearest``: only the nearest pair of each two components, else all pairs that sizes and sketches allow.  A task gives each
+    pair once, in whichever of its buckets it comes up."""
+    far = np.int64(1 << 40)
 
     def search(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        comp, n, tile = g["comp"], g["n"], g["tile"]
+        comp, n, tile, fp = g["comp"], g["n"], g["tile"], g["fp"]
         if (comp == comp[0]).all():
             return
         x = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(n), -1)
-        ti, tj = g["ti"][0], g["tj"][0]
-        left, right = np.flatnonzero(tile == ti), np.flatnonzero(tile == tj)
-        order = right[np.argsort(comp[right], kind="stable")]
-        start = np.flatnonzero(np.concatenate(([True], comp[order][1:] != comp[order][:-1])))
-        for i in left.tolist():
-            apart = np.bitwise_count(x[order] ^ x[i]).sum(1, dtype=np.int64)
-            total = n[order] + n[i]
-            ok = (apart <= (100 - num) * total // (100 + num)) & (comp[order] != comp[i]) & (np.minimum(n[order], n[i]) * 100 >= np.maximum(n[order], n[i]) * num)
-            if not ok.any():
+        same = g["ti"][0] == g["tj"][0]
+        by_comp = lambda rows: rows[np.argsort(comp[rows], kind="stable")]
+        cuts = lambda rows: np.flatnonzero(np.concatenate(([True], comp[rows][1:] != comp[rows][:-1])))
+        left, right = by_comp(np.flatnonzero(tile == g["ti"][0])), by_comp(np.flatnonzero(tile == g["tj"][0]))
+        if not len(left) or not len(right):
+            return
+        start, xr, nr, cr = cuts(right), x[right], n[right], comp[right]
+        size = np.diff(np.append(start, len(right)))
+        ends = np.append(cuts(left), len(left))
+        for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+            own = comp[left[lo]]
+            other = cr > own if same else cr != own
+            if not other.any():
                 continue
-            if nearest:
-                apart = np.where(ok, apart, 1 << 30)
-                least = np.minimum.reduceat(apart, start)
-                size = np.diff(np.append(start, len(order)))
-                hit = np.flatnonzero((apart == np.repeat(least, size)) & ok)
+            best, which = np.full(len(right), far), np.zeros(len(right), np.int64)
+            for k in range(lo, hi, 16):
+                rows = left[k : min(k + 16, hi)]
+                apart = np.bitwise_count(xr[None] ^ x[rows][:, None]).sum(2, dtype=np.int64)
+                nl = n[rows][:, None]
+                ok = other[None] & (apart <= (100 - num) * (nr[None] + nl) // (100 + num)) & (np.minimum(nr[None], nl) * 100 >= np.maximum(nr[None], nl) * num)
+                if nearest:
+                    apart = np.where(ok, apart, far)
+                    at = apart.argmin(0)
+                    least = apart[at, np.arange(len(right))]
+                    better = least < best
+                    best[better], which[better] = least[better], rows[at[better]]
+                elif ok.any():
+                    i, j = np.nonzero(ok)
+                    yield fp[rows[i]], fp[right[j]]
+            if nearest and (best < far).any():
+                hit = np.flatnonzero((best == np.repeat(np.minimum.reduceat(best, start), size)) & (best < far))
                 hit = hit[np.unique(np.repeat(np.arange(len(start)), size)[hit], return_index=True)[1]]
-            else:
-                hit = np.flatnonzero(ok)
-            yield np.full(len(hit), g["fp"][i]), g["fp"][order[hit]]
+                yield fp[which[hit]], fp[right[hit]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
+        given: set[tuple[int, int]] = set()
         for pdf in frames:
             if held is not None and len(held):
                 pdf = pd.concat((held, pdf), ignore_index=True)
             place = pdf[["key", "ti", "tj"]].to_numpy()
             cut = np.concatenate(([0], np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1, [len(pdf)])) if len(pdf) else np.array([0])
-            yield from done(pdf, cut[:-1])
+            yield from done(pdf, cut[:-1], given)
             held = pdf.iloc[cut[-2] :] if len(pdf) else None
         if held is not None and len(held):
-            yield from done(held, np.array([0, len(held)]))
+            yield from done(held, np.array([0, len(held)]), given)
 
-    def done(pdf: pd.DataFrame, cut: np.ndarray) -> Iterator[pd.DataFrame]:
+    def done(pdf: pd.DataFrame, cut: np.ndarray, given: set[tuple[int, int]]) -> Iterator[pd.DataFrame]:
         columns = {c: pdf[c].to_numpy() for c in pdf.columns}
-        out = [pair for a, b in zip(cut[:-1], cut[1:], strict=True) for pair in search({c: v[a:b] for c, v in columns.items()})]
+        out = []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            for a, b in search({c: v[lo:hi] for c, v in columns.items()}):
+                place = hash((int(columns["key"][lo]), int(columns["ti"][lo]), int(columns["tj"][lo])))
+                for pair in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True):
+                    if pair not in given:
+                        given.add(pair)
+                        out.append((*pair, place))
+            if len(given) > 1 << 20:
+                given.clear()
         if out:
-            a, b = np.concatenate([p[0] for p in out]), np.concatenate([p[1] for p in out])
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+            yield pd.DataFrame(out, columns=["a", "b", "place"])
+
+    return rows.mapInPandas(run, "a bigint, b bigint, place bigint").groupBy("a", "b").agg(F.min("place").alias("place"))
 
-    return rows.mapInPandas(run, "a bigint, b bigint").distinct()
+
+def verified_in_place(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """pairs(a, b, place) as ``verified``, but a set travels once to each place (a tile pair, so of bounded size) where it has
+    pairs, not once for each pair."""
+    ends = pairs.select("place", F.explode(F.array("a", "b")).alias("fp")).distinct()
+    there = ends.join(sets, "fp").select("place", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
+    rows = there.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, known = None, {}
+        for batch in batches:
+            good: list[tuple[int, int]] = []
+            for place, a, b, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if place != now:
+                    now, known = place, {}
+                if b is None:  # sets come before the pairs of their place
+                    known[a] = np.frombuffer(x, np.uint64)
+                    continue
+                x, y = known[a], known[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= num * (len(x) + len(y) - both):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
+
+    dealt = rows.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
+    return dealt.select("place", "a", "b", "shingles").mapInArrow(run, "a bigint, b bigint")
 
 
 def jaccard_classes(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,32 +337,34 @@ def jaccard_classes(docs: DataFrame, width: int, num: int, id_col: str = "doc_id
     met = keyed(docs, width, num).withColumn("leader", F.min("fp").over(by_key)).withColumn("last", F.max("fp").over(by_key)).where("leader != last").select("key", "fp", "leader")
     met = materialise(met, "buckets")
     members = met.select("fp").distinct()
-    sets = materialise(sets_of(docs, distinct.join(members, "fp").select(F.col("rep").alias("id"), "fp"), width), "shingles")
+    wanted = materialise(distinct.join(members, "fp").select(F.col("rep").alias("id"), "fp"), "wanted")
+    sets = materialise(sets_of(docs, wanted, width), "shingles")
     often = met.where("fp != leader").groupBy("fp", "leader").agg(F.count("*").alias("c"))
     first = often.groupBy("fp").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")).select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     links = materialise(verified(near_enough(first, distinct, num), sets, num), "links")
-    labels = components(links)
+    labels = _relabelled(members.select("fp", F.col("fp").alias("comp")), links)
     for nearest in (True, False):
-        open_rows = _open_buckets(met, labels)
-        rows = _tiled(open_rows, distinct)
-        more = materialise(verified(between_components(rows, num, nearest), sets, num), "links")
-        if more.isEmpty():
-            if nearest:
-                continue
-            break
-        links = links.unionByName(more)
-        labels = components(links)
-    classes = distinct.select("fp", "rep").join(labels, F.col("fp") == F.col("vertex"), "left").select("fp", "rep", F.coalesce("component", "fp").alias("c"))
+        rows = _tiled(_open_buckets(met, labels), distinct)
+        more = materialise(verified_in_place(materialise(between_components(rows, num, nearest), "pairs"), sets, num), "links")
+        if not more.isEmpty():
+            labels = _relabelled(labels, more)
+    classes = distinct.select("fp", "rep").join(labels, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("c"))
     least = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
     found = classes.join(least, "c").select("fp", "component_id")
     alone = every.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return every.where("n > 0").select("id", F.col("n").alias("n_shingles"), "fp").join(found, "fp").select("id", "n_shingles", "component_id").unionByName(alone)
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(fp, comp) after links(a, b) between sets: only their components meet, so what is settled isn't walked again."""
+    of = lambda c: labels.select(F.col("fp").alias(c), F.col("comp").alias(f"{c}_comp"))
+    joined = components(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    return materialise(labels.join(joined, F.col("comp") == F.col("vertex"), "left").select("fp", F.coalesce("component", "comp").alias("comp")), "labels")
+
+
 def _open_buckets(met: DataFrame, labels: DataFrame) -> DataFrame:
     """(key, fp, comp) of the buckets that hold more than one component; the least member is in its bucket's rows too."""
-    of = labels.select(F.col("vertex").alias("fp"), "component")
-    rows = met.join(of, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("comp"))
+    rows = met.join(labels, "fp").select("key", "fp", "comp")
     several = rows.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x != y").select("key", "size")
     return rows.join(several, "key")
 
@@ -321,7 +382,7 @@ def _tiled(rows: DataFrame, sketches: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, that of the least id; documents without a shingle stay, as do rows without an id."""
     found = jaccard_classes(docs.where(F.col(id_col).isNotNull()), width, num, id_col, text_col)
-    gone = found.where("id != component_id").select(F.col("id").alias("__gone"))
+    gone = _small(materialise(found.where("id != component_id").select(F.col("id").alias("__gone")), "gone"))
     return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
 
 

@@ -222,13 +222,13 @@ def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0)):
+            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 20):
                 k, c = np.unique(windows(data, offsets, order)[1], return_counts=True)
                 keys.append(k), n.append(c)
                 if len(keys) > 8:
                     k, c = _merge(np.concatenate(keys), np.concatenate(n))
                     keys, n = [k], [c]
-                    if len(k) > 1 << 22:
+                    if len(k) > 1 << 21:
                         yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "n"])
                         keys, n = [k[:0]], [c[:0]]
         k, c = _merge(np.concatenate(keys), np.concatenate(n))
@@ -303,7 +303,7 @@ def score(docs: DataFrame, model: Trie, counts: DataFrame, id_col: str = "doc_id
             ids = batch.column(0)
             texts = batch.column(1).to_pylist()
             ppm = np.zeros(len(texts))
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 21):
+            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
                 rows, packed = windows(data, offsets, trie.order)
                 ppm[first:end] = np.bincount(rows, trie.score(packed), end - first)
             words, n, base, known, tokens, at = [], [], [], [], [], []
