@@ -4,12 +4,12 @@ Training counts every window of ``ORDER`` + 1 bytes of every training text (lowe
 end symbol); counts of shorter contexts are sums of these.  Together they are the context trie.  A symbol not seen after its
 longest known context costs an escape (method D: of 2n observations of a context, each distinct successor gives one to escapes) and is looked for after the next
 shorter context, where symbols of the longer one are excluded.  As successors of a context also succeed its suffixes, the
-exclusion changes only each context's denominators, so they are worked out once for the whole trie; scoring is then a hash
-lookup per byte, and per escape.  ``PretrainedModel`` is that static form; ``adaptive_bits`` codes one text with a model that
-starts empty and learns as it goes.
+exclusion changes only each context's denominators, and a window's score is a function of the window alone.  ``gram_scores`` is
+that static form; ``adaptive_bits`` codes one text with a model that starts empty and learns as it goes.
 
-Size: the trie is broadcast, so it has a fixed capacity of ``CAPACITY`` nodes at every order: nodes are kept whose count is at
-least the smallest threshold (1 at first) under which all fit.  Counting itself covers every byte of every training text.
+Size: the trie is whole and stays distributed, a table of nodes at each order.  Each distinct window of the scored texts gets its
+score by joins with nodes and contexts, order by order.  The most frequent windows (``HEAD_GRAMS`` at most) are looked up in
+place; all others meet their scores in a shuffle join by window.  How many are looked up in place doesn't change any score.
 
 The word baseline joins each document's words with the training counts of all words.  The ``HEAD`` most frequent words are
 looked up in place (bounded); all others meet their counts in a shuffle join by word.
@@ -27,16 +27,15 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kindred.llm.common import fold, lowered, materialise, table, text_chunks
 
 ORDER = 5
-#: Nodes kept at each order of the broadcast trie (12 bytes each, about 70 more in a task), and words looked up in place.
-CAPACITY, HEAD = 1 << 19, 1 << 16
+#: Windows and words looked up in place; the others are joined.
+HEAD_GRAMS, HEAD = 1 << 20, 1 << 16
 #: Neither byte occurs in UTF-8.
 START, END = 0xFE, 0xFF
 
@@ -98,90 +97,24 @@ class _Table:
         return out
 
 
-class Trie(NamedTuple):
-    """What a model is made of and broadcast as: grams[k], counts[k]; tasks make the ``PretrainedModel`` from it."""
+class Model(NamedTuple):
+    """The training counts: nodes(gram, n) has every distinct window of ``order`` context bytes and a symbol."""
 
-    grams: list[np.ndarray]
-    counts: list[np.ndarray]
+    nodes: DataFrame
+    order: int
 
 
-_made: dict[str, PretrainedModel] = {}
+_made: dict[str, _Table] = {}
 
 
-def made(trie: Trie, key: str) -> PretrainedModel:
-    """The model of a trie, kept for one trie at a time in each worker."""
+def made(keys: np.ndarray, key: str) -> _Table:
+    """The lookup table of some keys, kept for one broadcast at a time in each worker."""
     if key not in _made:
         _made.clear()
-        _made[key] = PretrainedModel(*trie)
+        _made[key] = _Table(keys)
     return _made[key]
 
 
-class PretrainedModel:
-    """Static PPM with exclusion.  grams[k], counts[k]: windows of k context bytes and a symbol, sorted, and their counts."""
-
-    def __init__(self, grams: list[np.ndarray], counts: list[np.ndarray]):
-        counts = [c.astype(np.float64) for c in counts]
-        self.order = len(grams) - 1
-        self.nodes, self.cost, self.contexts = [], [], []
-        self.escape, self.next_denominator, self.next_escape = [], [], []
-        below: dict[str, np.ndarray] | None = None
-        for k in range(self.order + 1):
-            context = grams[k] >> np.uint64(8)
-            start = np.flatnonzero(np.concatenate(([True], context[1:] != context[:-1]))) if len(context) else np.zeros(0, np.int64)
-            size = np.diff(np.append(start, len(context)))
-            total = np.add.reduceat(counts[k], start) if len(start) else np.zeros(0)
-            own = 2 * total
-            self.nodes.append(_Table(grams[k]))
-            self.cost.append(np.log10((2 * counts[k] - 1) / np.repeat(own, size)))
-            self.contexts.append(_Table(context[start]))
-            self.escape.append(np.log10(size / own))
-            # after an escape from this context: what is left at the context one shorter without this one's symbols
-            if k:
-                suffix = context[start] & np.uint64(_mask(k - 2)) if k > 1 else np.zeros(len(start), np.uint64)
-                at = below["table"].find(suffix)
-                same = below["nodes"].find(grams[k] & np.uint64(_mask(k - 1)))
-                taken = np.add.reduceat(below["counts"][same], start) if len(start) else np.zeros(0)
-                left, kinds = below["total"][at] - taken, below["size"][at] - size
-                self.next_denominator.append(np.log10(np.maximum(2 * left, 1)))
-                self.next_escape.append(np.where(kinds > 0, np.log10(np.maximum(kinds, 1) / np.maximum(2 * left, 1)), 0.0))
-            else:
-                # below order 0: all 257 symbols (bytes and end) not seen at all, alike
-                self.next_denominator.append(np.log10(np.maximum(257.0 - size, 1.0)))
-                self.next_escape.append(np.zeros(len(start)))
-            below = {"table": self.contexts[k], "nodes": self.nodes[k], "counts": counts[k], "total": total, "size": size}
-        self.log_count = [np.log10(2 * c - 1) for c in counts]
-
-    def score(self, packed: np.ndarray) -> np.ndarray:
-        """log10 probability of each window's symbol after its context."""
-        out = np.zeros(len(packed))
-        todo = np.arange(len(packed))
-        longer = np.full(len(packed), -1, np.int64)  # the context just escaped from, where there was one
-        for k in range(self.order, -1, -1):
-            here = packed[todo] & np.uint64(_mask(k))
-            node = self.nodes[k].find(here)
-            hit = node >= 0
-            before = longer[todo]
-            fresh = before < 0
-            found = todo[hit]
-            after = hit & ~fresh
-            out[todo[hit & fresh]] += self.cost[k][node[hit & fresh]]
-            if k < self.order:
-                out[todo[after]] += self.log_count[k][node[after]] - self.next_denominator[k + 1][before[after]]
-            del found
-            miss = ~hit
-            todo, before, fresh = todo[miss], before[miss], fresh[miss]
-            context = self.contexts[k].find((packed[todo] >> np.uint64(8)) & np.uint64(_mask(k - 1)) if k else np.zeros(len(todo), np.uint64))
-            known = context >= 0
-            out[todo[known & fresh]] += self.escape[k][context[known & fresh]]
-            if k < self.order:
-                out[todo[known & ~fresh]] += self.next_escape[k + 1][before[known & ~fresh]]
-            longer[todo[known]] = context[known]
-        known = longer[todo] >= 0
-        out[todo[known]] -= self.next_denominator[0][longer[todo[known]]]
-        out[todo[~known]] -= math.log10(257)
-        return out
-
-
 def adaptive_bits(text: str, order: int = ORDER) -> float:
     """Code length in bits of one text under a model that starts empty and learns each symbol after coding it."""
     trie: dict[bytes, Counter] = {}
@@ -216,54 +149,138 @@ def _merge(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[start], np.add.reduceat(n, start) if len(start) else n
 
 
-def train(docs: DataFrame, order: int = ORDER, capacity: int = CAPACITY, text_col: str = "text") -> Trie:
-    """Count windows over all of ``docs``: the context trie."""
+#: A bit above every window (of order 6 at most) that marks trained rows while windows are counted.
+_TRAINED = np.uint64(1 << 60)
+
+
+def count_windows(docs: DataFrame, trained: Column, order: int = ORDER, text_col: str = "text") -> DataFrame:
+    """(gram, n, met): each distinct window of ``docs`` with its count in the trained rows and in all rows."""
+
+    def out(keys: list[np.ndarray], n: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.concatenate(keys), np.concatenate(n)
+        gram, at = key & ~_TRAINED, (key & _TRAINED) > 0
+        by = np.argsort(gram, kind="stable")
+        gram, n, at = gram[by], n[by], at[by]
+        start = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1]))) if len(gram) else np.zeros(0, np.int64)
+        sums = [np.add.reduceat(x, start) if len(start) else n for x in (n * at, n)]
+        return pa.RecordBatch.from_arrays([pa.array(gram[start].view(np.int64)), *map(pa.array, sums)], names=["gram", "n", "met"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(0), 1 << 20):
-                k, c = np.unique(windows(data, offsets, order)[1], return_counts=True)
+            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for first, end, data, offsets in text_chunks(batch.column(0), 1 << 20):
+                rows, packed = windows(data, offsets, order)
+                packed[flags[first:end][rows]] |= _TRAINED
+                k, c = np.unique(packed, return_counts=True)
                 keys.append(k), n.append(c)
                 if len(keys) > 8:
                     k, c = _merge(np.concatenate(keys), np.concatenate(n))
                     keys, n = [k], [c]
                     if len(k) > 1 << 21:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "n"])
+                        yield out(keys, n)
                         keys, n = [k[:0]], [c[:0]]
-        k, c = _merge(np.concatenate(keys), np.concatenate(n))
-        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["gram", "n"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-    level = materialise(counted, "ppm-windows")
-    grams, counts = [], []
-    for k in range(order, -1, -1):
-        if k < order:
-            level = level.groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.sum("n").alias("n"))
-        # the least threshold under which all nodes fit, from how many nodes have each count's power of two, then each count
-        got = _fitting(level, capacity)
-        keys = got["gram"].to_numpy(np.int64).view(np.uint64)
-        at = np.argsort(keys)
-        grams.append(keys[at]), counts.append(got["n"].to_numpy(np.float32)[at])
-        del got, keys, at
-    grams, counts = grams[::-1], counts[::-1]
-    for k in range(1, order + 1):  # a node stays only if the same symbol stayed after the shorter context
-        stays = np.isin(grams[k] & np.uint64(_mask(k - 1)), grams[k - 1])
-        grams[k], counts[k] = grams[k][stays], counts[k][stays]
-    return Trie(grams, counts)
-
-
-def _fitting(level: DataFrame, capacity: int) -> pd.DataFrame:
-    if level.count() <= capacity:
-        return level.toPandas()
-    octaves = {r["o"]: r["c"] for r in level.groupBy(F.floor(F.log2(F.col("n"))).alias("o")).agg(F.count("*").alias("c")).collect()}
+        yield out(keys, n)
+
+    rows = docs.select(F.col(text_col).alias("text"), F.coalesce(trained, F.lit(False)).alias("trained"))
+    counted = rows.mapInArrow(count, "gram bigint, n bigint, met bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("met").alias("met"))
+    return materialise(counted, "ppm-windows")
+
+
+def train(docs: DataFrame, order: int = ORDER, text_col: str = "text") -> Model:
+    """Count windows over all of ``docs``: the lowest level of the context trie, from which the others follow."""
+    return Model(count_windows(docs, F.lit(True), order, text_col).select("gram", "n"), order)
+
+
+def _suffix(gram: str, k: int) -> Column:
+    """The node (of k context bytes) that a longer window ends in."""
+    return F.col(gram).bitwiseAND(F.lit(_mask(k)))
+
+
+def _context(gram: str, k: int) -> Column:
+    """The k context bytes that come before a window's symbol."""
+    return F.shiftrightunsigned(_suffix(gram, k), 8)
+
+
+def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
+    """grams(gram, met) with score: the log10 probability of each window's symbol after its context."""
+    nodes = {model.order: model.nodes}
+    for k in range(model.order - 1, -1, -1):
+        nodes[k] = materialise(nodes[k + 1].groupBy(_suffix("gram", k).alias("gram")).agg(F.sum("n").alias("n")), f"ppm-nodes-{k}")
+    few = lambda df, k: F.broadcast(df) if k < 2 else df  # noqa: E731  at most 256 ** (k + 1) rows
+
+    def contexts(k: int) -> DataFrame:
+        """(context, total, size, taken): taken is the count of its successors after the context one shorter."""
+        own = nodes[k].select("gram", "n", _context("gram", k).alias("context"))
+        if not k:
+            own = own.withColumn("m", F.lit(0))
+        else:
+            own = own.withColumn("gram", _suffix("gram", k - 1)).join(few(nodes[k - 1].withColumnRenamed("n", "m"), k - 1), "gram")
+        return own.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("size"), F.sum("m").cast("bigint").alias("taken"))
+
+    state = grams.select("gram", "met", F.lit(0.0).alias("score"), F.lit(False).alias("done"), F.lit(0).cast("bigint").alias("taken_before"), F.lit(0).cast("bigint").alias("size_before"))
+    ended = []
+    for k in range(model.order, -1, -1):
+        here = state.withColumn("node", _suffix("gram", k)).withColumn("context", _context("gram", k))
+        here = here.join(few(nodes[k].select(F.col("gram").alias("node"), "n"), k), "node", "left").join(few(contexts(k), k - 1), "context", "left")
+        left, kinds = F.col("total") - F.col("taken_before"), F.col("size") - F.col("size_before")
+        step = F.when(F.col("n").isNotNull(), F.log10((2 * F.col("n") - 1) / (2 * left))).when(kinds > 0, F.log10(kinds / (2 * left))).otherwise(0.0)
+        after = here.select("gram", "met", (F.col("score") + step).alias("score"), F.col("n").isNotNull().alias("done"), F.coalesce("taken", F.lit(0)).alias("taken_before"), F.coalesce("size", F.lit(0)).alias("size_before"))
+        after = materialise(after, f"ppm-order-{k}")
+        ended.append(after.where("done"))
+        state = after.where("not done")
+    # below order 0: all 257 symbols (bytes and end) not seen at all, alike
+    ended.append(state.withColumn("score", F.col("score") - F.log10(F.greatest(257 - F.col("size_before"), F.lit(1)))))
+    out = ended[0]
+    for more in ended[1:]:
+        out = out.unionByName(more)
+    return out.select("gram", "met", "score")
+
+
+def _least(scores: DataFrame, capacity: int) -> int:
+    """The count from which on windows are looked up in place, so that ``capacity`` holds them."""
+    octaves = {r["o"]: r["c"] for r in scores.groupBy(F.floor(F.log2(F.col("met"))).alias("o")).agg(F.count("*").alias("c")).collect()}
     kept, least = 0, 1
     for o in sorted(octaves, reverse=True):
         if kept + octaves[o] > capacity:
             least = 1 << (o + 1)
             break
         kept += octaves[o]
-    return level.where(F.col("n") >= least).toPandas()
+    return least
+
+
+def window_sums(docs: DataFrame, scores: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ppm) in one or more rows for each row of ``docs``; their sum is its score."""
+    least = _least(scores, HEAD_GRAMS)
+    top = scores.where(F.col("met") >= least).select("gram", "score").toArrow()
+    key = uuid.uuid4().hex
+    held = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy().astype(np.int64).view(np.uint64), top["score"].to_numpy().astype(np.float64)))
+    del top
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = made(held.value[0], key)
+        value = held.value[1]
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
+                rows, packed = windows(data, offsets, order)
+                at = known.find(packed)
+                hit = at >= 0
+                ppm = np.bincount(rows[hit], value[at[hit]], end - first)
+                rows, packed = rows[~hit], packed[~hit]
+                by = np.lexsort((packed, rows))
+                rows, packed = rows[by], packed[by]
+                start = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (packed[1:] != packed[:-1])))) if len(rows) else np.zeros(0, np.int64)
+                n = np.diff(np.append(start, len(rows)))
+                m = end - first
+                # a row for each document, keyed apart so that these spread, and one for each of its windows that isn't frequent
+                ids = batch.column(0).take(pa.array(np.concatenate((np.arange(m), rows[start])) + first))
+                grams = np.concatenate((-1 - np.arange(m), packed[start].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(grams), pa.array(np.concatenate((np.zeros(m), n)).astype(np.int32)), pa.array(np.concatenate((ppm, np.zeros(len(start)))))], names=["id", "gram", "n", "ppm"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, gram bigint, n int, ppm double")
+    tail = scores.where(F.col("met") < least).select("gram", F.col("score").alias("each"))
+    return parts.join(tail, "gram", "left").select("id", (F.col("ppm") + F.coalesce(F.col("n") * F.col("each"), F.lit(0.0))).alias("ppm"))
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -286,26 +303,25 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
-def score(docs: DataFrame, model: Trie, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: DataFrame | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score.
+
+    grams(gram, met) are the distinct windows of ``docs``, if they have been counted already."""
     spark = docs.sparkSession
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
     top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
     head = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
-    key = uuid.uuid4().hex
-    held = spark.sparkContext.broadcast((model, head, math.log10(totals["ends"] + 1), totals["ends"] > 0))
+    held = spark.sparkContext.broadcast((head, math.log10(totals["ends"] + 1), totals["ends"] > 0))
+    if grams is None:
+        grams = count_windows(docs, F.lit(False), model.order, text_col)
+    ppm = window_sums(docs, gram_scores(grams.select("gram", "met"), model), model.order, id_col=id_col, text_col=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common, end_log, end_known = held.value
-        trie = made(trie, key)
+        common, end_log, end_known = held.value
         log = {w: math.log10(c + 1) for w, c in common.items()}
         for batch in batches:
             ids = batch.column(0)
             texts = batch.column(1).to_pylist()
-            ppm = np.zeros(len(texts))
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
-                rows, packed = windows(data, offsets, trie.order)
-                ppm[first:end] = np.bincount(rows, trie.score(packed), end - first)
             words, n, base, known, tokens, at = [], [], [], [], [], []
             for k, text in enumerate(texts):
                 own = Counter((text or "").encode().lower().split())
@@ -324,19 +340,22 @@ def score(docs: DataFrame, model: Trie, counts: DataFrame, id_col: str = "doc_id
             # a row for each document, keyed apart so that these spread, and one for each of its words that isn't common
             own_key = [b"\xff" + k.to_bytes(4, "big") + bytes(str(i), "utf-8") for k, i in enumerate(ids.to_pylist())]
             zero = np.zeros(len(words))
-            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(np.concatenate(([1] * m, zero)).astype(np.int32)), pa.array(own_key + words, pa.binary()), pa.array(np.concatenate((np.zeros(m), n)).astype(np.int64)), pa.array(np.concatenate((base, zero))), pa.array(np.concatenate((known, zero)).astype(np.int64)), pa.array(np.concatenate((tokens, zero)).astype(np.int64)), pa.array(np.concatenate((ppm, zero)))], names=["id", "own", "word", "n", "base", "known", "tokens", "ppm"])
+            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(np.concatenate(([1] * m, zero)).astype(np.int32)), pa.array(own_key + words, pa.binary()), pa.array(np.concatenate((np.zeros(m), n)).astype(np.int64)), pa.array(np.concatenate((base, zero))), pa.array(np.concatenate((known, zero)).astype(np.int64)), pa.array(np.concatenate((tokens, zero)).astype(np.int64))], names=["id", "own", "word", "n", "base", "known", "tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, own int, word binary, n bigint, base double, known bigint, tokens bigint, ppm double")
+    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, own int, word binary, n bigint, base double, known bigint, tokens bigint")
     tail = counts.where("word is not null").select("word", F.col("n").alias("seen"))
     joined = parts.join(tail, "word", "left")
-    summed = joined.groupBy("id").agg(
-        F.sum("own").alias("copies"),
-        F.sum("tokens").alias("n_tokens"),
-        F.sum(F.col("known") + F.when(F.col("seen").isNotNull(), F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.when(F.col("seen").isNotNull(), F.col("n") * F.log10(F.col("seen") + 1)).otherwise(0.0)).alias("log_sum"),
-        F.sum("ppm").alias("score"),
+    of_words = joined.select(
+        "id",
+        "tokens",
+        (F.col("known") + F.when(F.col("seen").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
+        (F.col("base") + F.when(F.col("seen").isNotNull(), F.col("n") * F.log10(F.col("seen") + 1)).otherwise(0.0)).alias("base"),
+        F.lit(0.0).alias("ppm"),
     )
+    nothing = F.lit(0).cast("bigint")
+    both = of_words.unionByName(ppm.select("id", nothing.alias("tokens"), nothing.alias("known"), F.lit(0.0).alias("base"), "ppm"))
+    summed = both.groupBy("id").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("log_sum"), F.sum("ppm").alias("score"))
     total = totals["n"] + totals["v"] + 1
     return summed.select("id", "n_tokens", "n_known", F.lit(totals["n"]).cast("bigint").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(math.log10(total))).alias("base_score"), "score")
 
@@ -347,7 +366,8 @@ FOLDS, HELD_OUT = 7, 2
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score every whole text of documents with models of the folds that are not held out."""
     docs = table(spark, sf_dir, "documents")
-    training = docs.where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    counts = materialise(word_counts(training), "word-counts")
-    found = score(docs, train(training), counts)
+    trained = fold(F.col("doc_id"), FOLDS) != HELD_OUT
+    counts = materialise(word_counts(docs.where(trained)), "word-counts")
+    grams = count_windows(docs, trained)
+    found = score(docs, Model(grams.where("n > 0").select("gram", "n"), ORDER), counts, grams=grams)
     return found.select(F.col("id").alias("doc_id"), (fold(F.col("id"), FOLDS) == HELD_OUT).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

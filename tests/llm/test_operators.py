@@ -189,6 +189,22 @@ def test_lm_scoring(spark):
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in nothing)
 
 
+def test_lm_scoring_keeps_every_window(spark):
+    rng = np.random.default_rng(12)
+    texts = [bytes(rng.integers(97, 123, 6000, np.uint8)).decode() for _ in range(100)] + ["the same words again and again " * 40]
+    df = frame(spark, texts)
+    nodes, contexts = Counter(), Counter()
+    coded = [bytes([lm_scoring.START] * 5) + t.encode() + bytes([lm_scoring.END]) for t in texts]
+    for b in coded:
+        nodes.update(b[i - 5 : i + 1] for i in range(5, len(b)))
+        contexts.update(b[i - 5 : i] for i in range(5, len(b)))
+    assert len(nodes) > 1 << 19
+    got = {r["id"]: r["score"] for r in lm_scoring.score(df, lm_scoring.train(df), lm_scoring.word_counts(df)).collect()}
+    for i, b in enumerate(coded):
+        want = sum(math.log10((2 * nodes[b[k - 5 : k + 1]] - 1) / (2 * contexts[b[k - 5 : k]])) for k in range(5, len(b)))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
     found = quality.op5_quality_classifier(spark, sf).toPandas().set_index("doc_id")
