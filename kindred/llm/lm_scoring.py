@@ -237,16 +237,27 @@ def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
     return out.select("gram", "met", "score")
 
 
+#: Steps in which an octave of counts is refined; up to 2 * STEPS each count is a step of its own.
+STEPS = 1 << 12
+
+
 def _least(scores: DataFrame, capacity: int) -> int:
-    """The count from which on windows are looked up in place, so that ``capacity`` holds them."""
+    """The count from which on windows are looked up in place: the smallest (to a step) under which ``capacity`` holds them."""
     octaves = {r["o"]: r["c"] for r in scores.groupBy(F.floor(F.log2(F.col("met"))).alias("o")).agg(F.count("*").alias("c")).collect()}
-    kept, least = 0, 1
+    kept = 0
     for o in sorted(octaves, reverse=True):
         if kept + octaves[o] > capacity:
-            least = 1 << (o + 1)
-            break
+            first, width = 1 << o, max(1, (1 << o) // STEPS)
+            inside = scores.where((F.col("met") >= first) & (F.col("met") < 2 * first)).groupBy(F.floor((F.col("met") - first) / width).alias("s")).agg(F.count("*").alias("c"))
+            least = 2 * first
+            for r in sorted(inside.collect(), key=lambda r: -r["s"]):
+                kept += r["c"]
+                if kept > capacity:
+                    break
+                least = first + r["s"] * width
+            return least
         kept += octaves[o]
-    return least
+    return 1
 
 
 def window_sums(docs: DataFrame, scores: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

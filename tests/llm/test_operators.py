@@ -205,6 +205,13 @@ def test_lm_scoring_keeps_every_window(spark):
         assert math.isclose(got[i], want, rel_tol=1e-9)
 
 
+def test_lm_scoring_fills_its_lookup(spark):
+    counts = [1] * 10 + [2] * 2 + [3] * 3 + [1_000_000 + i for i in range(4)]
+    met = spark.createDataFrame([(c,) for c in counts], "met long")
+    for capacity, least, kept in ((100, 1, 19), (9, 2, 9), (8, 3, 7), (7, 3, 7), (6, 4, 4)):
+        assert (lm_scoring._least(met, capacity), sum(c >= least for c in counts)) == (least, kept)
+
+
 def test_quality(spark):
     sf = SF.replace("0.001", "0.01")
     found = quality.op5_quality_classifier(spark, sf).toPandas().set_index("doc_id")
