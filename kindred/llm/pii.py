@@ -1,11 +1,12 @@
 """Personal data: pattern seeds and bootstrapped contextual extraction, in DataFrame operations only.
 
 Base kinds (email, ip, card, phone) are found by expressions and checked (parts to 255, Luhn and length, digit counts).  They
-seed a graph: candidates are tokens with a digit or an at sign, and their contexts (the word to the left, the word to the right)
-are patterns.  A pattern's confidence for a kind is the mean score of its distinct instances, an instance's score is the best
-confidence of the patterns it stands in; seeds count 1 for their kind.  Scores are propagated for ``ROUNDS`` rounds.  Tokens that
+seed a graph.  Instances are the base spans as a whole, and candidates apart from them: tokens with a digit or an at sign, and
+runs of adjacent tokens with digits; their contexts (the word to the left, the word to the right) are patterns.  A token of a
+run is an instance too, but weighs nothing in a pattern's confidence, where its run stands for it.  A pattern's confidence for a kind is the mean score of its distinct instances, an instance's score is the best
+confidence of the patterns it stands in; seeds count 1 for their kind.  Scores are propagated for ``ROUNDS`` rounds.  Candidates that
 are no seed, but stand in a pattern of at least ``CONFIDENCE`` with at least ``SUPPORT`` distinct seeds, are unseen identifiers:
-wherever they occur they become spans of kind ``<kind>_like``.
+wherever they occur they become spans of kind ``<kind>_like``, the longest where one holds another.
 
 Each text is scanned once; only candidates leave its row, and the graph is aggregated with partial sums, so neither a frequent
 pattern nor a frequent instance is gathered anywhere.
@@ -38,6 +39,8 @@ CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*
 LEAST_LENGTH = 6
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+TOKENS = "array<struct<from:int,to:int,start:int,value:string,word_before:string,word_after:string,digit:boolean,follows:boolean>>"
+FOUND = "array<struct<start:int,value:string,left:string,right:string,part:boolean>>"
 
 
 def located(text: Column, expression: str) -> Column:
@@ -85,39 +88,75 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*out))
 
 
-def candidates(text: Column) -> Column:
-    """array<struct<start, end, value, before, after>>: tokens with a digit or @, less outer punctuation, with their contexts."""
+def tokens(text: Column) -> Column:
+    """array<struct<from, to, start, value, word_before, word_after, digit, follows>>: tokens with a digit or @ (from, to), their value less
+    outer punctuation, their contexts, and whether only blanks stand between the last such token and them."""
     shaped = F.transform(
         located(text, CANDIDATE),
         lambda s: F.struct(
+            s["start"].alias("from"),
+            s["end"].alias("to"),
             (s["start"] + F.length(F.regexp_extract(s["value"], r"^[^\p{L}\p{N}+]*+", 0))).alias("start"),
             F.regexp_replace(F.regexp_replace(s["value"], r"^[^\p{L}\p{N}+]*+", ""), r"[^\p{L}\p{N}]++$", "").alias("value"),
-            F.lower(F.regexp_extract(s["before"], rf"([^\x20\x09-\x0D]++){SPACE}*+$", 1)).alias("left"),
-            F.lower(F.regexp_extract(s["after"], rf"^{SPACE}*+([^\x20\x09-\x0D]++)", 1)).alias("right"),
+            F.lower(F.regexp_extract(s["before"], rf"([^\x20\x09-\x0D]++){SPACE}*+$", 1)).alias("word_before"),
+            F.lower(F.regexp_extract(s["after"], rf"^{SPACE}*+([^\x20\x09-\x0D]++)", 1)).alias("word_after"),
+            s["value"].rlike("[0-9]").alias("digit"),
+            s["before"].rlike(r"^[\x20\x09]++$").alias("follows"),
         ),
     )
-    return F.when(text.rlike("[0-9@]"), F.filter(shaped, lambda s: F.length(s["value"]) >= LEAST_LENGTH))
+    return F.when(text.rlike("[0-9@]"), shaped)
+
+
+def _free(t: Column) -> Column:
+    return ~F.exists("base", lambda b: (b["start"] < t["to"]) & (b["end"] > t["from"]))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, found) of every row: base spans and candidates."""
+    """(id, base, seeds, found) of every row: base spans, these as instances, and candidates apart from them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), base_spans(text).alias("base"), candidates(text).alias("found"))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"), F.coalesce(tokens(text), F.array().cast(TOKENS)).alias("tokens"))
+    # a base span begins and ends in tokens with a digit or @, which know the words around it
+    seeds = F.transform(
+        "base",
+        lambda b: F.struct(
+            b["value"].alias("value"),
+            F.get(F.filter("tokens", lambda t: (t["from"] <= b["start"]) & (t["to"] > b["start"])), F.lit(0))["word_before"].alias("left"),
+            F.get(F.filter("tokens", lambda t: (t["from"] < b["end"]) & (t["to"] >= b["end"])), F.lit(0))["word_after"].alias("right"),
+            b["kind"].alias("kind"),
+        ),
+    )
+    marked = F.transform("tokens", lambda t: t.withField("free", _free(t)))
+    rows = rows.select("id", "text", "base", seeds.alias("seeds"), marked.alias("tokens"))
+    joins = lambda t, last: t["follows"] & t["digit"] & t["free"] & last["digit"] & last["free"]
+    linked = F.transform("tokens", lambda t, i: F.when(i > 0, joins(t, F.get("tokens", i - 1))).otherwise(False))
+    rows = rows.withColumn("linked", linked)
+    first = F.filter(F.transform("linked", lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("first", first)
+    last = lambda k: F.coalesce(F.get("first", k + 1), F.size("tokens")) - 1
+    ends = F.transform("first", lambda i, k: F.struct(i.alias("i"), last(k).alias("j")))
+    longer = F.transform(
+        F.filter(ends, lambda e: e["j"] > e["i"]),
+        lambda e: F.struct(F.get("tokens", e["i"])["start"].alias("start"), F.substring("text", F.get("tokens", e["i"])["start"] + 1, F.get("tokens", e["j"])["start"] + F.length(F.get("tokens", e["j"])["value"]) - F.get("tokens", e["i"])["start"]).alias("value"), F.get("tokens", e["i"])["word_before"].alias("left"), F.get("tokens", e["j"])["word_after"].alias("right"), F.lit(False).alias("part")),
+    )
+    own = F.transform("tokens", lambda t, i: F.struct(t["start"].alias("start"), t["value"].alias("value"), t["word_before"].alias("left"), t["word_after"].alias("right"), (F.get("linked", i) | F.coalesce(F.get("linked", i + 1), F.lit(False))).alias("part"), t["free"].alias("free")))
+    single = F.transform(F.filter(own, lambda t: t["free"]), lambda t: t.dropFields("free"))
+    found = F.filter(F.concat(single.cast(FOUND), longer.cast(FOUND)), lambda c: F.length(c["value"]) >= LEAST_LENGTH)
+    return rows.select("id", "base", "seeds", found.alias("found"))
 
 
 def unseen(rows: DataFrame) -> DataFrame:
     """(value, kind) of the identifiers that contexts give away; rows as of ``scanned``."""
-    seed = F.filter("base", lambda b: (b["start"] < F.col("c.start") + F.length("c.value")) & (b["end"] > F.col("c.start")))
-    exploded = rows.select("base", F.explode("found").alias("c")).select(F.col("c.value").alias("value"), "c.left", "c.right", F.get(seed, F.lit(0))["kind"].alias("kind"))
+    seeds = rows.select(F.explode("seeds").alias("c")).select("c.value", "c.left", "c.right", "c.kind", F.lit(False).alias("part"))
+    exploded = seeds.unionByName(rows.select(F.explode("found").alias("c")).select("c.value", "c.left", "c.right", F.lit(None).cast("string").alias("kind"), "c.part"))
     sides = F.explode(F.array(F.concat(F.lit("< "), "left"), F.concat(F.lit("> "), "right")))
-    edges = exploded.select("value", "kind", sides.alias("pattern")).where(F.length("pattern") > 2)
-    edges = materialise(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "contexts")
+    edges = exploded.select("value", "kind", "part", sides.alias("pattern")).where(F.length("pattern") > 2)
+    edges = materialise(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.bool_and("part").alias("part")), "contexts")
     marked = edges.groupBy("value").agg(F.min("kind").alias("kind"))
     score = marked.where("kind is not null").select("value", "kind", F.lit(1.0).alias("score"), F.lit(True).alias("seed"))
-    size = edges.groupBy("pattern").agg(F.count("*").alias("size"))
+    size = edges.where("not part").groupBy("pattern").agg(F.count("*").alias("size"))
     fresh = marked.where("kind is null").select("value")
     for _ in range(ROUNDS):
-        sums = edges.select("pattern", "value").join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if("seed").alias("support"))
+        sums = edges.where("not part").select("pattern", "value").join(score, "value").groupBy("pattern", "kind").agg(F.sum("score").alias("s"), F.count_if("seed").alias("support"))
         sure = sums.join(size, "pattern").select("pattern", "kind", (F.col("s") / F.col("size")).alias("confidence"), "support").where(F.col("support") >= SUPPORT)
         best = edges.join(fresh, "value").select("pattern", "value").join(sure, "pattern").groupBy("value", "kind").agg(F.max("confidence").alias("score"))
         score = materialise(score.where("seed").unionByName(best.select("value", "kind", "score", F.lit(False).alias("seed"))), "scores")
@@ -133,7 +172,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rank = F.lit(len(KINDS)) + F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     new = exploded.join(known, "value").select("id", F.struct("start", rank.cast("int").alias("rank"), (F.col("start") + F.length("value")).cast("int").alias("end"), F.concat("kind", F.lit("_like")).alias("kind"), "value").alias("span"))
     by_id = new.groupBy("id").agg(F.collect_set("span").cast(SPAN).alias("more"))
-    joined = rows.select("id", "base").join(by_id, "id", "left")
+    outer = F.filter("more", lambda m: ~F.exists("more", lambda o: (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])))
+    joined = rows.select("id", "base").join(by_id.withColumn("more", outer), "id", "left")
     apart = F.filter(F.coalesce("more", F.array().cast(SPAN)), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
     return joined.select("id", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
 

@@ -286,6 +286,19 @@ def test_pii(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_pii_spaced_identifiers(spark):
+    told = [f"Please call: +1 ({200 + i}) 555-{1000 + i} tonight" for i in range(12)]
+    told += [f"charged card: 4111 1111 1111 {1111 + 0 * i} today {i}" for i in range(2)]
+    told += ["now call: 0171 555 7713 maybe", "we call: weird7host 2024 x", "again weird7host here", "call: a1@b.com 0190 7777 123 z", "count 12 34 56 78 end"]
+    found = {r["id"]: r["w"] for r in pii.find_pii(frame(spark, told)).select("id", pii.written(F.col("spans")).alias("w")).collect()}
+    assert found[0] == "phone:13:30" and found[12].startswith("card:14:33")
+    assert found[14] == "phone_like:10:23" and found[15] == "phone_like:9:24" and found[16] == "phone_like:6:16"
+    assert found[17].startswith("email:6:14") and found[18] == ""
+    rows = pii.scanned(frame(spark, told)).orderBy("id").collect()
+    assert rows[0]["seeds"] == [("+1 (200) 555-1000", "call:", "tonight", "phone")] and rows[0]["found"] == []
+    assert [c["value"] for c in rows[17]["found"]] == ["0190 7777 123"] and [c["value"] for c in rows[18]["found"]] == ["12 34 56 78"]
+
+
 def test_language(spark):
     sf = SF.replace("0.001", "0.01")
     found = language_id.op9_language_id(spark, sf).toPandas().set_index("doc_id")
