@@ -3,7 +3,9 @@
 Both sides become sequences of typed tokens: words in lower case without punctuation, and placeholders for numbers (a token
 with a digit), names (a capitalised word that does not begin a sentence) and units (a unit word right after a number).  Windows of
 ``WINDOW`` typed tokens are hashed and joined; so a question whose numbers, names or units were changed still meets its
-template.  Windows are also joined without regard to case (names as plain words), for texts in capitals.  Matched windows are aligned: for each document and item the windows on one diagonal (document position less item
+template.  Windows are also joined without regard to case (names as plain words), for texts in capitals, and with capitalised words
+that begin a sentence as names too: what leaks no item without these windows is judged again with them, with such words as
+slots where they differ.  Matched windows are aligned: for each document and item the windows on one diagonal (document position less item
 position) form runs, in which slots are checked for consistency: each value of the item's slots must stand for one value of the
 document's, throughout the run, and the other way round.  A document leaks an item when consistent runs cover at least
 ``LEAST_SHARE`` of the item's windows or one run spans ``LEAST_RUN`` tokens.
@@ -77,13 +79,13 @@ def _unit_hashes() -> np.ndarray:
 _UNITS = _unit_hashes()
 
 
-def typed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, template token, own token, is placeholder) of every token of a chunk.
+def typed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, template token, own token, is placeholder, is a capitalised word that opens a sentence) of every token of a chunk.
 
     A number keeps inner points and commas as part of its own value: 1,000.5 is one token."""
     if not len(data):
         z = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), z, z, np.zeros(0, bool)
+        return np.zeros(0, np.int64), z, z, np.zeros(0, bool), np.zeros(0, bool)
     low, capital = _lower(data)
     inside = _INSIDE[data]
     joint = np.zeros(len(data), bool)  # a point or comma between digits
@@ -91,7 +93,7 @@ def typed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     start, end = _spans(inside | joint, offsets)
     if not len(start):
         z = np.zeros(0, np.uint64)
-        return np.zeros(0, np.int64), z, z, np.zeros(0, bool)
+        return np.zeros(0, np.int64), z, z, np.zeros(0, bool), np.zeros(0, bool)
     row = np.searchsorted(offsets, start, side="right") - 1
     own = hash_spans(low, start, end)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
@@ -105,16 +107,17 @@ def typed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     unit = after_number & ~number & np.isin(own, _UNITS)
     token = own.copy()
     token[number], token[name], token[unit] = NUMBER, NAME, UNIT
-    return row, token, own, number | name | unit
+    return row, token, own, number | name | unit, capital[start] & opens & ~number & ~unit
 
 
-def window_hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(position of the first token, hash) of each window that lies in one row: of its template, if it has a token that is no
-    placeholder, and of its words with names as they are, if it has a name."""
+def window_hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, opener: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position of the first token, hash, has openers as names) of each window that lies in one row: of its template, if it has a
+    token that is no placeholder, of its words with names as they are, if it has a name, and of its template with openers as names."""
     n = len(token) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     plain = np.where(token == NAME, own, token)
+    renamed = np.where(opener, NAME, token)
     with np.errstate(over="ignore"):
         value = np.full(n, width, np.uint64)
         for k in range(width):
@@ -122,11 +125,17 @@ def window_hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, row: np.
         blind = np.full(n, width, np.uint64)
         for k in range(width):
             blind += plain[k : k + n] * _STEP[k]
+        opened = np.full(n, width, np.uint64)
+        for k in range(width):
+            opened += renamed[k : k + n] * _STEP[k]
     slots = np.concatenate(([0], np.cumsum(slot)))
     whole = row[:n] == row[width - 1 :]
     at = np.flatnonzero(whole & (slots[width:] - slots[:n] < width))
     named = np.flatnonzero(whole & (value != blind))
-    return np.concatenate((at, named)), np.concatenate((mix(value[at]), mix(blind[named])))
+    filled = np.concatenate(([0], np.cumsum(slot | opener)))
+    begun = np.flatnonzero(whole & (value != opened) & (filled[width:] - filled[:n] < width))
+    kind = np.repeat([False, True], [len(at) + len(named), len(begun)])
+    return np.concatenate((at, named, begun)), np.concatenate((mix(value[at]), mix(blind[named]), mix(opened[begun]))), kind
 
 
 def _extend(there: dict, back: dict, pairs: list[tuple[int, int]]) -> bool:
@@ -147,22 +156,23 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
-        self.tokens, self.own, self.slot, self.width, self.windows = [], [], [], [], []
-        hashes, item, place = [], [], []
+        self.tokens, self.own, self.slot, self.opener, self.width, self.windows = [], [], [], [], [], []
+        hashes, item, place, opened = [], [], [], []
         for _, _, data, offsets in text_chunks(pa.array(texts, pa.string())):
-            row, token, own, slot = typed(data, offsets)
+            row, token, own, slot, opener = typed(data, offsets)
             cut = np.searchsorted(row, np.arange(len(offsets)))
             for k in range(len(offsets) - 1):
-                t, o, s = (x[cut[k] : cut[k + 1]] for x in (token, own, slot))
+                t, o, s, p = (x[cut[k] : cut[k + 1]] for x in (token, own, slot, opener))
                 width = min(WINDOW, len(t))
-                at, h = window_hashes(t, o, s, np.zeros(len(t), np.int64), width) if width else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-                self.tokens.append(t), self.own.append(o), self.slot.append(s), self.width.append(width), self.windows.append(len(np.unique(at)))
-                hashes.append(h), place.append(at), item.append(np.full(len(at), len(self.width) - 1))
+                at, h, b = window_hashes(t, o, s, p, np.zeros(len(t), np.int64), width) if width else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+                self.tokens.append(t), self.own.append(o), self.slot.append(s), self.opener.append(p), self.width.append(width), self.windows.append(len(np.unique(at)))
+                hashes.append(h), place.append(at), opened.append(b), item.append(np.full(len(at), len(self.width) - 1))
         hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
         self.item = np.concatenate([np.zeros(0, np.int64), *item])[order]
         self.place = np.concatenate([np.zeros(0, np.int64), *place])[order]
+        self.opened = np.concatenate([np.zeros(0, bool), *opened])[order]
         self.widths = sorted({w for w in self.width if w})
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
@@ -175,8 +185,11 @@ class Items:
         first = np.cumsum(count) - count
         return np.repeat(maybe, count), np.arange(count.sum()) - np.repeat(first - lo, count)
 
-    def judge(self, k: int, own: np.ndarray, slot: np.ndarray, at: np.ndarray, place: np.ndarray) -> dict | None:
-        """Runs of matched windows of item k in one document (its own tokens), or None if it does not leak."""
+    def judge(self, k: int, own: np.ndarray, slot: np.ndarray, opener: np.ndarray | None, at: np.ndarray, place: np.ndarray) -> dict | None:
+        """Runs of matched windows of item k in one document (its own tokens), or None if it does not leak.
+
+        Openers are slots where they stand against another name; where ``opener`` is None they are plain words."""
+        doc_slot, item_slot = (slot, self.slot[k]) if opener is None else (slot | opener, self.slot[k] | self.opener[k])
         width = self.width[k]
         covered, best, slots, swapped, where = set(), 0, 0, 0, None
         diagonal = at - place
@@ -190,7 +203,7 @@ class Items:
             run: list[int] = []
             pieces = []
             for q in range(a, b):
-                pairs = [(int(self.own[k][place[q] + j]), int(own[at[q] + j])) for j in range(width) if self.slot[k][place[q] + j] and slot[at[q] + j]]
+                pairs = [(int(self.own[k][place[q] + j]), int(own[at[q] + j])) for j in range(width) if item_slot[place[q] + j] and doc_slot[at[q] + j] and ((self.slot[k][place[q] + j] and slot[at[q] + j]) or self.own[k][place[q] + j] != own[at[q] + j])]
                 if not _extend(there, back, pairs):  # the slots contradict what came before: a new run, with slots of its own
                     pieces.append((run, there))
                     run, there, back = [], {}, {}
@@ -217,25 +230,29 @@ LEAK = pa.struct([("item", pa.int64()), ("matched", pa.int64()), ("windows", pa.
 def leaks_of(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
     """What each row of a chunk leaks."""
     out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
-    row, token, own, slot = typed(data, offsets)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
+    row, token, own, slot, opener = typed(data, offsets)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for width in items.widths:
-        at, h = window_hashes(token, own, slot, row, width)
+        at, h, b = window_hashes(token, own, slot, opener, row, width)
         i, w = items.look_up(h)
         right = np.array(items.width)[items.item[w]] == width if len(w) else np.zeros(0, bool)
-        found.append((at[i[right]], w[right]))
-    at, w = np.concatenate([f[0] for f in found] or [np.zeros(0, np.int64)]), np.concatenate([f[1] for f in found] or [np.zeros(0, np.int64)])
+        found.append((at[i[right]], w[right], b[i[right]] | items.opened[w[right]]))
+    at, w, begun = (np.concatenate([f[k] for f in found] or [np.zeros(0, kind)]) for k, kind in enumerate((np.int64, np.int64, bool)))
     if not len(at):
         return out
     item, place, doc = items.item[w], items.place[w], row[at]
     order = np.lexsort((place, item, doc))
-    at, item, place, doc = at[order], item[order], place[order], doc[order]
+    at, item, place, doc, begun = at[order], item[order], place[order], doc[order], begun[order]
     cut = np.concatenate(([0], np.flatnonzero((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])) + 1, [len(at)]))
     first = np.searchsorted(row, np.arange(len(offsets)))
     for a, b in zip(cut[:-1], cut[1:], strict=True):
         base = first[doc[a]]
         end = first[doc[a] + 1]
-        if (leak := items.judge(int(item[a]), own[base:end], slot[base:end], at[a:b] - base, place[a:b])) is not None:
+        k, o, t, plain = int(item[a]), own[base:end], slot[base:end], ~begun[a:b]
+        leak = items.judge(k, o, t, None, at[a:b][plain] - base, place[a:b][plain]) if plain.any() else None
+        if leak is None and not plain.all():
+            leak = items.judge(k, o, t, opener[base:end], at[a:b] - base, place[a:b])
+        if leak is not None:
             out[doc[a]].append(leak | {"windows": items.windows[item[a]]})
     return out
 

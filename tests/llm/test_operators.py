@@ -237,6 +237,16 @@ def test_decontamination(spark):
     assert decontamination.find_leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_sentence_openers(spark):
+    item = "Tom has 3 cats at home. Tom buys 4 more from Mary. Mary keeps 2 cats now."
+    texts = ["Ann has 5 cats at home. Ann buys 9 more from Sue. Sue keeps 7 cats now.", "Ann has 5 cats at home. Bob buys 9 more from Sue. Lee keeps 7 cats now.", "We know Ann has 5 cats at home. Ann buys 9 more from Sue. Sue keeps 7 cats now.", "Nothing has been said. Here is more of it. There it ends."]
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    got = {r["id"]: r for r in decontamination.find_leaks(frame(spark, texts), items).collect()}
+    assert got[0]["share"] == 1.0 and got[2]["share"] == 1.0 and 3 not in got
+    assert 1 not in got or got[1]["longest"] < got[0]["longest"]  # Tom can't stand for Ann and Bob in one run
+    assert [r["doc_id"] for r in decontamination.drop_leaking(frame(spark, texts[:1] + texts[3:]), items).collect()] == [1]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
