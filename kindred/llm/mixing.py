@@ -57,10 +57,12 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(NULL_NAME)))), 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
 
 
-def _targets(observed: dict[str, float], name: str, targets: dict[str, DataFrame] | None, total: float) -> dict[str, float]:
+def _targets(observed: dict[str, float], name: str, targets: dict[str, DataFrame] | None, total: float, cells: DataFrame) -> dict[str, float]:
     """Token targets of a small marginal, from shares or tempered from what is observed."""
     if targets and name in targets:
-        given = {NULL_NAME if r["value"] is None else str(r["value"]): float(r["share"] or 0) for r in targets[name].select("value", "share").limit(MOST_PAIRS + 1).collect()}
+        present = cells.select(F.col(name).alias("value")).distinct()
+        named = targets[name].select(F.coalesce(F.col("value").cast("string"), F.lit(NULL_NAME)).alias("value"), "share")
+        given = {r["value"]: float(r["share"] or 0) for r in named.join(present, "value", "left_semi").dropDuplicates(["value"]).collect()}
         share = {v: given.get(v, 0.0) for v in observed}
     else:
         share = {v: t ** TEMPERATURE[name] if t else 0.0 for v, t in observed.items()}
@@ -83,7 +85,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
     for r in pairs:
         for m in observed:
             observed[m][r[m]] = observed[m].get(r[m], 0.0) + r["t"]
-    wanted = {m: _targets(observed[m], m, targets, total) for m in observed}
+    wanted = {m: _targets(observed[m], m, targets, total, cells) for m in observed}
     rows = cells.groupBy("source").agg(F.sum("tokens").cast("double").alias("tokens"), F.collect_list(F.struct("lang", "topic", F.col("tokens").cast("double").alias("w"))).alias("cells"))
     if targets and "source" in targets:
         rows = rows.join(targets["source"].select(F.col("value").cast("string").alias("source"), F.col("share").cast("double").alias("t")), "source", "left").withColumn("t", F.coalesce("t", F.lit(0.0)))

@@ -342,6 +342,13 @@ def test_mixing(spark):
     assert mixing.probabilities(docs.limit(0)).count() == 0
 
 
+def test_mixing_reads_whole_targets(spark):
+    docs = spark.createDataFrame([(i, "word " * 5, "s", ["en", "fr"][i % 2]) for i in range(400)], "doc_id long, text string, source string, lang string")
+    table = spark.createDataFrame([(f"x{i}", 1.0) for i in range(5000)] + [("en", 0.7), ("fr", 0.3)], "value string, share double").coalesce(1)
+    odds = {r["lang"]: r["p"] for r in mixing.probabilities(docs, {"lang": table}).groupBy("lang").agg(F.max("probability").alias("p")).collect()}
+    assert math.isclose(odds["en"], 0.7, rel_tol=1e-6) and math.isclose(odds["fr"], 0.3, rel_tol=1e-6)
+
+
 def test_text_chunks_keep_rows_whole():
     texts = ["é" * 100, None, "", "x" * 1000, "y"]
     got = [(data.tobytes(), offsets) for _, _, data, offsets in text_chunks(pa.array(texts).slice(0), 64)]
