@@ -12,7 +12,7 @@ document's, throughout the run, and the other way round.  A document leaks an it
 
 The item side is broadcast (a map-side hash join: documents don't move) after a check of its rows and bytes; a benchmark beyond
 ``BROADCAST_ITEMS`` or ``BROADCAST_BYTES`` is dealt by hash into parts that fit, each joined in its own pass.  Items shorter than a window are one window of their own length.  Windows that consist of placeholders only say
-nothing.  Null or empty texts on either side match nothing; repeated items each get their own row, ids may be of any type;
+nothing, unless an item has no others: then its full windows are matched by their own tokens, as verbatim copies.  Null or empty texts on either side match nothing; repeated items each get their own row, ids may be of any type;
 further columns are ignored.
 """
 
@@ -46,6 +46,8 @@ _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[[10, 13, 33, 46, 63]] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x6E756D0000000001, 0x6E616D0000000002, 0x756E690000000003))
+#: Kinds of windows.
+PLAIN, OPENED, LITERAL = range(3)
 _STEP = np.random.default_rng(6).integers(1, 1 << 62, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -111,11 +113,12 @@ def typed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def window_hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, opener: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position of the first token, hash, has openers as names) of each window that lies in one row: of its template, if it has a
-    token that is no placeholder, of its words with names as they are, if it has a name, and of its template with openers as names."""
+    """(position of the first token, hash, kind) of each window that lies in one row: of its template, if it has a token that is no
+    placeholder, and of its words with names as they are, if it has a name (``PLAIN``); of its template with openers as names
+    (``OPENED``); of its own tokens, if it is a full window of placeholders only (``LITERAL``)."""
     n = len(token) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8)
     plain = np.where(token == NAME, own, token)
     renamed = np.where(opener, NAME, token)
     with np.errstate(over="ignore"):
@@ -128,14 +131,18 @@ def window_hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, opener:
         opened = np.full(n, width, np.uint64)
         for k in range(width):
             opened += renamed[k : k + n] * _STEP[k]
+        literal = np.full(n, width, np.uint64) ^ NUMBER
+        for k in range(width):
+            literal += own[k : k + n] * _STEP[k]
     slots = np.concatenate(([0], np.cumsum(slot)))
     whole = row[:n] == row[width - 1 :]
     at = np.flatnonzero(whole & (slots[width:] - slots[:n] < width))
     named = np.flatnonzero(whole & (value != blind))
     filled = np.concatenate(([0], np.cumsum(slot | opener)))
     begun = np.flatnonzero(whole & (value != opened) & (filled[width:] - filled[:n] < width))
-    kind = np.repeat([False, True], [len(at) + len(named), len(begun)])
-    return np.concatenate((at, named, begun)), np.concatenate((mix(value[at]), mix(blind[named]), mix(opened[begun]))), kind
+    only = np.flatnonzero(whole & (slots[width:] - slots[:n] == width)) if width == WINDOW else np.zeros(0, np.int64)
+    kind = np.repeat(np.array([PLAIN, OPENED, LITERAL], np.int8), [len(at) + len(named), len(begun), len(only)])
+    return np.concatenate((at, named, begun, only)), np.concatenate((mix(value[at]), mix(blind[named]), mix(opened[begun]), mix(literal[only]))), kind
 
 
 def _extend(there: dict, back: dict, pairs: list[tuple[int, int]]) -> bool:
@@ -164,9 +171,11 @@ class Items:
             for k in range(len(offsets) - 1):
                 t, o, s, p = (x[cut[k] : cut[k + 1]] for x in (token, own, slot, opener))
                 width = min(WINDOW, len(t))
-                at, h, b = window_hashes(t, o, s, p, np.zeros(len(t), np.int64), width) if width else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
+                at, h, b = window_hashes(t, o, s, p, np.zeros(len(t), np.int64), width) if width else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int8))
+                if (b != LITERAL).any():
+                    at, h, b = at[b != LITERAL], h[b != LITERAL], b[b != LITERAL]
                 self.tokens.append(t), self.own.append(o), self.slot.append(s), self.opener.append(p), self.width.append(width), self.windows.append(len(np.unique(at)))
-                hashes.append(h), place.append(at), opened.append(b), item.append(np.full(len(at), len(self.width) - 1))
+                hashes.append(h), place.append(at), opened.append(b == OPENED), item.append(np.full(len(at), len(self.width) - 1))
         hashes = np.concatenate([np.zeros(0, np.uint64), *hashes])
         order = np.argsort(hashes, kind="stable")
         self.hashes = hashes[order]
@@ -236,7 +245,7 @@ def leaks_of(items: Items, data: np.ndarray, offsets: np.ndarray) -> list[list[d
         at, h, b = window_hashes(token, own, slot, opener, row, width)
         i, w = items.look_up(h)
         right = np.array(items.width)[items.item[w]] == width if len(w) else np.zeros(0, bool)
-        found.append((at[i[right]], w[right], b[i[right]] | items.opened[w[right]]))
+        found.append((at[i[right]], w[right], (b[i[right]] == OPENED) | items.opened[w[right]]))
     at, w, begun = (np.concatenate([f[k] for f in found] or [np.zeros(0, kind)]) for k, kind in enumerate((np.int64, np.int64, bool)))
     if not len(at):
         return out

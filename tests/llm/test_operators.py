@@ -247,6 +247,12 @@ def test_decontamination_of_sentence_openers(spark):
     assert [r["doc_id"] for r in decontamination.drop_leaking(frame(spark, texts[:1] + texts[3:]), items).collect()] == [1]
 
 
+def test_decontamination_of_numbers(spark):
+    items = spark.createDataFrame([(9, "2 3 5 7 11 13 17 19 23"), (10, "7")], "item_id long, text string")
+    texts = ["as is: 2 3 5 7 11 13 17 19 23 and on", "as is: 2 3 5 7 12 14 18 20 24 and on", "7"]
+    assert [(r["id"], r["item_id"], r["share"]) for r in decontamination.find_leaks(frame(spark, texts), items).collect()] == [(0, 9, 1.0)]
+
+
 def test_token_counts(spark):
     from tokenizers import Tokenizer
 
