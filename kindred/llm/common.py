@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.storage import materialise, shared_dir
+from kindred.storage import discard, materialise, shared_dir
 
-__all__ = ["WORD", "fold", "hash_spans", "lowered", "materialise", "mix", "shared_dir", "shingles", "table", "text_chunks", "word_spans"]
+__all__ = ["WORD", "discard", "fold", "frugal", "hash_spans", "lowered", "materialise", "mix", "shared_dir", "shingles", "table", "text_chunks", "word_spans"]
 
 #: Words are runs of anything but ASCII white space (one pattern for Java, Python and DuckDB).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +28,28 @@ def fold(key: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(modulus))
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: workers serve many tasks, and what one leaves is held against the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        return
+
+
+def frugal[**P, T](run: Callable[P, Iterator[T]]) -> Callable[P, Iterator[T]]:
+    """A task's generator that leaves no freed memory behind in its worker."""
+
+    @functools.wraps(run)
+    def wrapped(*args: P.args, **kwargs: P.kwargs) -> Iterator[T]:
+        try:
+            yield from run(*args, **kwargs)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 # ---------------------------------------------------------------- text batches
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -63,7 +87,7 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Split an Arrow string column into runs of rows of about ``limit`` bytes: (first row, end row, bytes, offsets).
 
     A null reads as the empty text.  Rows are never cut, so one very long text makes one large run.

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import hash_spans, mix, table, text_chunks
+from kindred.llm.common import frugal, hash_spans, mix, table, text_chunks
 
 WINDOW = 8
 LEAST_SHARE, LEAST_RUN = 0.5, 13
@@ -293,6 +293,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for part in parts_of(benchmark, item_col, item_text):
         held = spark.sparkContext.broadcast(benchmark_items(part, item_col, item_text))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = held.value
             for batch in batches:
@@ -318,6 +319,7 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     for part in parts_of(benchmark):
         held = spark.sparkContext.broadcast(benchmark_items(part))
 
+        @frugal
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 clean = [not leaks for _, _, data, offsets in text_chunks(batch.column(at)) for leaks in leaks_of(held.value, data, offsets)]

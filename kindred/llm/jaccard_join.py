@@ -7,16 +7,17 @@ collisions) no differing shingle there.  As sets that link differ in at most d s
 of more than d blocks one agrees at least: the pigeonhole join on (band, block, fold) misses no link.  Blocks that are empty
 say nothing and are left out, which is made up for by a few more blocks; a set with so many empty blocks that the count no
 longer reaches also gives its empty blocks, so the join is exact in every case.  A second sketch of 1,024 parity bits has a
-Hamming distance that is at most the symmetric difference, and drops most false candidates.  What is left is verified on whole
-sets.
+Hamming distance that is at most the symmetric difference, and drops most false candidates within buckets; a finer one, of at least
+8 bits for each difference that a link allows, drops most of the others.  What is left is verified on whole sets.
 
 Work within a bucket stays linear where copies are many: a set is compared first with the bucket's least member it meets most
 often; members already in one component need no more comparison.  Only buckets that still hold several components are searched
 further, in tiles of bounded size, first the nearest member of each other component, then all that is left between components.
 So all classes are exact while pairs inside a class are not expanded.
 
-Null, empty and blank texts have no shingle and link with nothing; texts with fewer words than a shingle are one shingle.  Ids
-are expected to be unique and not null; further columns are ignored; an empty table gives an empty table.
+Null, empty and blank texts have no shingle and link with nothing; texts with fewer words than a shingle are one shingle.  Rows
+that repeat an id, or have none, are rows of their own; component ids are the least ids that are not null (null where a component
+has none).  Further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kindred.llm.common import hash_spans, lowered, materialise, mix, shingles, table, text_chunks, word_spans
+from kindred.llm.common import discard, frugal, hash_spans, lowered, materialise, mix, shingles, table, text_chunks, word_spans
 from kindred.operators.components import components
 
 BITS = 1024
 TILE = 2048
+#: Keys that a task holds before it gives them out, and how many sets it must then hold of a key to lead them itself.
+HELD, HOT = 1 << 19, 64
 #: Ids that are broadcast to pick texts (16 bytes each); more meet the texts in a shuffle join.
 BROADCAST_IDS = 1 << 20
 #: Chance, at most, that a set has more empty blocks than its band provides for (it then gives those too).
@@ -140,9 +143,10 @@ def block_keys(row: np.ndarray, value: np.ndarray, sizes: np.ndarray, bands: Ban
 def vertices(docs: DataFrame, width: int) -> DataFrame:
     """(id, n, fp, sketch) of every row of docs(id, text)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 21):
+            for first, end, data, offsets in text_chunks(batch.column(1)):
                 row, value, sizes = shingle_sets(data, offsets, width)
                 bits = parity(row, value, len(sizes))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(sizes, pa.int64()), pa.array(fingerprints(row, value, sizes)), pa.array([b.tobytes() for b in bits], pa.binary())], names=["id", "n", "fp", "sketch"])
@@ -150,13 +154,27 @@ def vertices(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n bigint, fp bigint, sketch binary")
 
 
+def _dealt(key: np.ndarray, fp: np.ndarray, hot: int) -> pa.RecordBatch:
+    """(key, fp, leader, leads): leader is null but for keys that ``hot`` sets of one task share, of which the least leads the others."""
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    led, leads = np.repeat(size >= hot, size), np.zeros(len(key), bool)
+    led[start], leads[start] = False, size >= hot
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp), pa.array(np.repeat(fp[start], size), mask=~led), pa.array(leads)], names=["key", "fp", "leader", "leads"])
+
+
 def keyed(docs: DataFrame, width: int, num: int) -> DataFrame:
-    """(key, fp) of every block; a set that repeats within a task gives its blocks once."""
+    """The blocks of every set, as ``_dealt`` gives them; a set that repeats within a task gives its blocks once."""
+    hot, most = HOT, HELD
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, known = Bands(num), set()
+        keys, fps, held = [], [], 0
         for batch in batches:
-            for _, _, data, offsets in text_chunks(batch.column(1), 1 << 21):
+            for _, _, data, offsets in text_chunks(batch.column(1)):
                 row, value, sizes = shingle_sets(data, offsets, width)
                 fp = fingerprints(row, value, sizes)
                 new = np.zeros(len(fp), bool)
@@ -164,24 +182,76 @@ def keyed(docs: DataFrame, width: int, num: int) -> DataFrame:
                     if f not in known:
                         known.add(f)
                         new[k] = True
+                if len(known) > 1 << 18:
+                    known.clear()
                 keep = new[row]
                 of_row, key = block_keys(row[keep], value[keep], np.where(new, sizes, 0), bands)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp[of_row])], names=["key", "fp"])
+                keys.append(key), fps.append(fp[of_row])
+                held += len(key)
+                if held > most:
+                    yield _dealt(np.concatenate(keys), np.concatenate(fps), hot)
+                    keys, fps, held = [], [], 0
+        if held:
+            yield _dealt(np.concatenate(keys), np.concatenate(fps), hot)
+
+    return docs.mapInArrow(run, "key bigint, fp bigint, leader bigint, leads boolean")
+
+
+def buckets(docs: DataFrame, width: int, num: int) -> DataFrame:
+    """(key, fp, leader) of the sets that share a key with another one.  Sets that a task has led already are dealt apart from their
+    key, so a hot key costs one window a few rows for each task, not one for each set."""
+    rows = keyed(docs, width, num).withColumn("part", F.when(F.col("leader").isNull(), F.col("key")).otherwise(F.xxhash64("key", "fp")))
+    by_part = Window.partitionBy("part")
+    met = rows.withColumn("least", F.min("fp").over(by_part)).withColumn("last", F.max("fp").over(by_part))
+    return met.where("leads or leader is not null or least != last").select("key", "fp", F.coalesce("leader", "least").alias("leader"))
+
+
+def fine_bits(sizes: np.ndarray, bands: Bands) -> np.ndarray:
+    """Bits of a set's fine sketch: a power of two of at least 8 times the differences that a link allows."""
+    allowed = (100 - bands.num) * (sizes + sizes * 100 // bands.num) // (100 + bands.num)
+    return 1 << np.maximum(10, np.ceil(np.log2(np.maximum(1, 8 * allowed)))).astype(np.int64)
+
+
+def fine_parity(row: np.ndarray, value: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    """Each row's parity sketch of so many bits; one half XOR the other is the sketch of half as many."""
+    base = np.concatenate(([0], np.cumsum(bits)))
+    bit = (mix(value ^ np.uint64(0xC2B2AE3D27D4EB4F)) & (bits[row] - 1).astype(np.uint64)).astype(np.int64)
+    packed = np.packbits((np.bincount(base[row] + bit, minlength=base[-1]) & 1).astype(bool))
+    return [packed[lo // 8 : hi // 8].tobytes() for lo, hi in zip(base[:-1], base[1:], strict=True)]
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Hamming distance of two fine sketches (as 64-bit words): at most the symmetric difference of their sets."""
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
 
-    return docs.mapInArrow(run, "key bigint, fp bigint")
+def may_link(na: int, nb: int, x: np.ndarray, y: np.ndarray, num: int) -> bool:
+    return min(na, nb) * 100 >= max(na, nb) * num and apart(x, y) <= (100 - num) * (na + nb) // (100 + num)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(fp, shingles) of the rows of docs(id, text) whose ids are in wanted(id, fp)."""
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int, num: int, unique: bool) -> DataFrame:
+    """(fp, n, fine, shingles) of each set in wanted(id, fp), where id names a row of docs(id, text) that has it."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num)
         for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 21):
+            for _, _, data, offsets in text_chunks(batch.column(0)):
                 row, value, sizes = shingle_sets(data, offsets, width)
                 cut = np.concatenate(([0], np.cumsum(sizes)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array([value[cut[k] : cut[k + 1]].tobytes() for k in range(len(sizes))], pa.binary())], names=["fp", "shingles"])
+                sets = pa.array([value[cut[k] : cut[k + 1]].tobytes() for k in range(len(sizes))], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(fingerprints(row, value, sizes)), pa.array(sizes, pa.int64()), pa.array(fine_parity(row, value, fine_bits(sizes, bands)), pa.binary()), sets], names=["fp", "n", "fine", "shingles"])
 
-    return docs.join(_small(wanted), "id").select("fp", "text").mapInArrow(run, "fp bigint, shingles binary")
+    ids = wanted.select(F.col("id").alias("__id")).distinct()
+    made = docs.join(_small(ids), F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text").mapInArrow(run, "fp bigint, n bigint, fine binary, shingles binary")
+    if unique:
+        return made
+    # an id that repeats may name texts that are not wanted, and the same text more than once
+    return made.join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -189,36 +259,42 @@ def _small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def near_enough(pairs: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and parity sketches allow a link."""
+def near_enough(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and fine sketches allow a link."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            if not len(na):
-                continue
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint64).reshape(len(na), -1) ^ np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint64).reshape(len(na), -1)
-            keep = (np.bitwise_count(x).sum(1) <= (100 - num) * (na + nb) // (100 + num)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * num)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            na, nb, xa, xb = (batch.column(k) for k in range(2, 6))
+            keep = pa.array([may_link(na[k].as_py(), nb[k].as_py(), _words(xa[k]), _words(xb[k]), num) for k in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    side = lambda c: sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("fine").alias(f"x{c}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
+
 
-    side = lambda c: sketches.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+def _words(cell: pa.Scalar) -> np.ndarray:
+    """A binary value as 64-bit words, without a copy."""
+    return np.frombuffer(cell.as_buffer(), np.uint64)
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     """Pairs (a, b) whose whole sets have 100 x intersection >= num x union."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for k in range(batch.num_rows):
+                x, y = _words(batch.column(2)[k]), _words(batch.column(3)[k])
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= num * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
-    side = lambda c: sets.select(F.col("fp").alias(c), F.col("shingles").alias(f"x{c}"))
+    ends = _small(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct())
+    needed = sets.select("fp", "shingles").join(ends, "fp", "left_semi")
+    side = lambda c: needed.select(F.col("fp").alias(c), F.col("shingles").alias(f"x{c}"))
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
@@ -268,6 +344,7 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
                 hit = hit[np.unique(np.repeat(np.arange(len(start)), size)[hit], return_index=True)[1]]
                 yield fp[which[hit]], fp[right[hit]]
 
+    @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
         given: set[tuple[int, int]] = set()
@@ -291,7 +368,7 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
                     if pair not in given:
                         given.add(pair)
                         out.append((*pair, place))
-            if len(given) > 1 << 20:
+            if len(given) > 1 << 16:
                 given.clear()
         if out:
             yield pd.DataFrame(out, columns=["a", "b", "place"])
@@ -299,60 +376,69 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
     return rows.mapInPandas(run, "a bigint, b bigint, place bigint").groupBy("a", "b").agg(F.min("place").alias("place"))
 
 
-def verified_in_place(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """pairs(a, b, place) as ``verified``, but a set travels once to each place (a tile pair, so of bounded size) where it has
-    pairs, not once for each pair."""
+def near_in_place(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """pairs(a, b, place) as ``near_enough``, but a sketch travels once to each place (a tile pair, so of bounded size) where it
+    has pairs, not once for each pair."""
     ends = pairs.select("place", F.explode(F.array("a", "b")).alias("fp")).distinct()
-    there = ends.join(sets, "fp").select("place", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "shingles")
-    rows = there.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    there = ends.join(sets.select("fp", "n", "fine"), "fp").select("place", F.col("fp").alias("a"), F.lit(None).cast("bigint").alias("b"), "n", "fine")
+    rows = there.unionByName(pairs.select("place", "a", "b", F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("binary").alias("fine")))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known = None, {}
         for batch in batches:
             good: list[tuple[int, int]] = []
-            for place, a, b, x in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for place, a, b, n, x in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if place != now:
                     now, known = place, {}
-                if b is None:  # sets come before the pairs of their place
-                    known[a] = np.frombuffer(x, np.uint64)
-                    continue
-                x, y = known[a], known[b]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= num * (len(x) + len(y) - both):
+                if b is None:  # sketches come before the pairs of their place
+                    known[a] = n, np.frombuffer(x, np.uint64)
+                elif may_link(known[a][0], known[b][0], known[a][1], known[b][1], num):
                     good.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], names=["a", "b"])
 
     dealt = rows.repartition("place").sortWithinPartitions("place", F.col("b").asc_nulls_first())
-    return dealt.select("place", "a", "b", "shingles").mapInArrow(run, "a bigint, b bigint")
+    return dealt.select("place", "a", "b", "n", "fine").mapInArrow(run, "a bigint, b bigint")
 
 
-def jaccard_classes(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles and component_id, under links with 100 x intersection >= num x union."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def set_classes(docs: DataFrame, width: int, num: int) -> tuple[DataFrame, DataFrame]:
+    """For docs(id, text): (id, n, fp) of every row, and (fp, comp, least) of every set, under links with 100 x intersection >=
+    num x union; least is the least id of a component."""
     every = materialise(vertices(docs, width), "sets")
-    distinct = every.where("n > 0").groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    distinct = materialise(distinct, "distinct-sets")
-    by_key = Window.partitionBy("key")
-    met = keyed(docs, width, num).withColumn("leader", F.min("fp").over(by_key)).withColumn("last", F.max("fp").over(by_key)).where("leader != last").select("key", "fp", "leader")
-    met = materialise(met, "buckets")
+    some = every.where("n > 0")
+    distinct = materialise(some.groupBy("fp").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "distinct-sets")
+    unique = some.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").isEmpty()
+    met = materialise(buckets(docs, width, num), "buckets")
     members = met.select("fp").distinct()
     wanted = materialise(distinct.join(members, "fp").select(F.col("rep").alias("id"), "fp"), "wanted")
-    sets = materialise(sets_of(docs, wanted, width), "shingles")
+    sets = materialise(sets_of(docs, wanted, width, num, unique), "shingles")
     often = met.where("fp != leader").groupBy("fp", "leader").agg(F.count("*").alias("c"))
     first = often.groupBy("fp").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")).select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
-    links = materialise(verified(near_enough(first, distinct, num), sets, num), "links")
-    labels = _relabelled(members.select("fp", F.col("fp").alias("comp")), links)
+    labels = _linked(wanted.select("fp", F.col("fp").alias("comp")), near_enough(first, sets, num), sets, num)
     for nearest in (True, False):
-        rows = _tiled(_open_buckets(met, labels), distinct)
-        more = materialise(verified_in_place(materialise(between_components(rows, num, nearest), "pairs"), sets, num), "links")
-        if not more.isEmpty():
-            labels = _relabelled(labels, more)
-    classes = distinct.select("fp", "rep").join(labels, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("c"))
-    least = classes.groupBy("c").agg(F.min("rep").alias("component_id"))
-    found = classes.join(least, "c").select("fp", "component_id")
+        pairs = materialise(between_components(_tiled(_open_buckets(met, labels), distinct), num, nearest), "pairs")
+        labels = _linked(labels, near_in_place(pairs, sets, num), sets, num)
+        discard(pairs)
+    classes = materialise(distinct.select("fp", "rep").join(labels, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp")), "classes")
+    discard(met, wanted, sets)
+    least = classes.groupBy("comp").agg(F.min("rep").alias("least"))
+    return every.select("id", "n", "fp"), classes.join(least, "comp").select("fp", "comp", "least")
+
+
+def _linked(labels: DataFrame, near: DataFrame, sets: DataFrame, num: int) -> DataFrame:
+    """labels after those of the pairs ``near`` that whole sets confirm."""
+    near = materialise(near, "near")
+    links = materialise(verified(near, sets, num), "links")
+    out = labels if links.isEmpty() else _relabelled(labels, links)
+    discard(near, links)
+    return out
+
+
+def jaccard_classes(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles and component_id, under links with 100 x intersection >= num x union."""
+    every, classes = set_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, num)
     alone = every.where("n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
-    return every.where("n > 0").select("id", F.col("n").alias("n_shingles"), "fp").join(found, "fp").select("id", "n_shingles", "component_id").unionByName(alone)
+    return every.where("n > 0").join(classes, "fp").select("id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id")).unionByName(alone)
 
 
 def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -380,10 +466,26 @@ def _tiled(rows: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, width: int, num: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that of the least id; documents without a shingle stay, as do rows without an id."""
-    found = jaccard_classes(docs.where(F.col(id_col).isNotNull()), width, num, id_col, text_col)
-    gone = _small(materialise(found.where("id != component_id").select(F.col("id").alias("__gone")), "gone"))
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    """``docs`` with one row of each class, that of the least id; rows without a shingle stay.
+
+    Of rows that share the least id one stays, and of rows without an id one where their class has no other."""
+    every, classes = set_classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, num)
+    found = materialise(every.where("n > 0").join(classes, "fp"), "found")
+    odd = found.groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null").select(F.col("id").alias("__odd"))
+    gone = found.where("id is not null and id != least").select(F.col("id").alias("__gone"))
+    if odd.isEmpty():
+        return docs.join(_small(materialise(gone, "gone")), docs[id_col] == F.col("__gone"), "left_anti")
+    # ids that repeat or are null don't name a row: these rows are known by their sets again
+    odd = _small(materialise(odd, "odd"))
+    own = F.col(id_col).eqNullSafe(F.col("__odd"))
+    plain = docs.join(odd, own, "left_anti").join(_small(materialise(gone, "gone")), F.col(id_col) == F.col("__gone"), "left_anti")
+    rows = docs.join(odd, own, "left_semi").withColumn("__row", F.struct(id_col, text_col))
+    known = vertices(rows.select(F.col("__row").alias("id"), F.col(text_col).alias("text")), width).select(F.col("id").alias("__row"), "n", "fp").distinct()
+    marked = rows.join(known, rows["__row"].eqNullSafe(known["__row"])).drop(known["__row"]).withColumnsRenamed({"n": "__n", "fp": "__fp"})
+    marked = marked.join(classes.select(F.col("fp").alias("__fp"), F.col("comp").alias("__comp"), F.col("least").alias("__least")), "__fp", "left")
+    first = F.row_number().over(Window.partitionBy("__comp").orderBy(F.col(text_col)))
+    kept = marked.where(f"__n > 0 and `{id_col}` <=> __least").withColumn("__first", first).where("__first = 1")
+    return plain.unionByName(kept.select(*docs.columns)).unionByName(marked.where("__n = 0").select(*docs.columns))
 
 
 WIDTH, NUM = 4, 85

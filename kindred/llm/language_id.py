@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, table, text_chunks
+from kindred.llm.common import fold, frugal, table, text_chunks
 
 BUCKETS = 1 << 16
 GRAM = 4
@@ -63,6 +63,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages (sorted) and the log-probability of each bucket under each; counts cover every row of ``docs``."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -159,6 +160,7 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, id_col: str =
     held = docs.sparkSession.sparkContext.broadcast(model)
     mix_type = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = 0
@@ -178,6 +180,7 @@ def keep_identified(docs: DataFrame, names: list[str], model: np.ndarray, text_c
     columns = docs.columns
     at, lang_at = columns.index(text_col), columns.index(lang_col) if lang_col in columns else None
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pred = [p for preds in predictions(batch.column(at), names, held.value) for p in preds[0]]

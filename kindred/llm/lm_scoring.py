@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, lowered, materialise, table, text_chunks
+from kindred.llm.common import fold, frugal, lowered, materialise, table, text_chunks
 
 ORDER = 5
 #: Windows and words looked up in place; the others are joined.
@@ -165,6 +165,7 @@ def count_windows(docs: DataFrame, trained: Column, order: int = ORDER, text_col
         sums = [np.add.reduceat(x, start) if len(start) else n for x in (n * at, n)]
         return pa.RecordBatch.from_arrays([pa.array(gram[start].view(np.int64)), *map(pa.array, sums)], names=["gram", "n", "met"])
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
@@ -268,6 +269,7 @@ def window_sums(docs: DataFrame, scores: DataFrame, order: int, id_col: str = "d
     held = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy().astype(np.int64).view(np.uint64), top["score"].to_numpy().astype(np.float64)))
     del top
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = made(held.value[0], key)
         value = held.value[1]
@@ -297,6 +299,7 @@ def window_sums(docs: DataFrame, scores: DataFrame, order: int, id_col: str = "d
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over every row; the end of each text counts as the token with a null word."""
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         ends = 0
@@ -327,6 +330,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_i
         grams = count_windows(docs, F.lit(False), model.order, text_col)
     ppm = window_sums(docs, gram_scores(grams.select("gram", "met"), model), model.order, id_col=id_col, text_col=text_col)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, end_log, end_known = held.value
         log = {w: math.log10(c + 1) for w, c in common.items()}

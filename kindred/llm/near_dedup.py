@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import materialise, table
+from kindred.llm.common import frugal, materialise, table
 from kindred.operators.components import components
 
 THRESHOLD = 0.9
@@ -41,6 +41,7 @@ BLOCK = 1024
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): the unit vector as float64 bytes, null where the row can't link."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[bytes | None] = []
@@ -267,6 +268,7 @@ def _links(rows: DataFrame, threshold: float, reach: float, kind: str, width: in
     centres = top(np.stack([np.frombuffer(v, np.float64) for v in sample["v"]]), reach)
     held = spark.sparkContext.broadcast(centres)
 
+    @frugal
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, width)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, table, text_chunks
+from kindred.llm.common import fold, frugal, table, text_chunks
 
 BUCKETS, DIMENSIONS, NEIGHBOURS, SAMPLE, SHARPNESS = 4096, 48, 25, 4096, 8.0
 
@@ -83,6 +83,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
 
+    @frugal
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(2)):
@@ -99,6 +100,7 @@ def classify(docs: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: st
     """One row per row of ``docs``: id, score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(voter)
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1), 1 << 21):

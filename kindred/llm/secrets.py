@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import table, text_chunks
+from kindred.llm.common import frugal, table, text_chunks
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "npm", "jwt", "pem")
@@ -139,6 +139,7 @@ SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end"
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id and spans, an array of (kind, start, end)."""
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, data, offsets in text_chunks(batch.column(1)):
@@ -167,6 +168,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
 
+    @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = batch.columns

@@ -123,8 +123,38 @@ def near_copies():
     return texts
 
 
+def test_jaccard_rows_of_one_id(spark):
+    long = " ".join(f"w{i}" for i in range(400))
+    rows = [(1, long), (1, long), (1, "other words stand here now"), (2, long + " more"), (None, long), (None, "alone with no id here"), (None, "alone with no id here"), (3, None), (3, None), (4, "  "), (5, "alone with no id here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(df, 4, 85).collect()), key=str)
+    assert got == sorted([(1, 397, 1), (1, 397, 1), (1, 2, 1), (2, 398, 1), (None, 397, 1), (None, 2, 5), (None, 2, 5), (3, 0, 3), (3, 0, 3), (4, 0, 4), (5, 2, 5)], key=str)
+    kept = sorted(map(tuple, jaccard_join.drop_copies(df, 4, 85).collect()), key=str)
+    assert kept == sorted([(1, long), (1, "other words stand here now"), (5, "alone with no id here"), (3, None), (3, None), (4, "  ")], key=str)
+    none = spark.createDataFrame([(None, long), (None, long), (None, long + " more")], "doc_id long, text string")
+    assert jaccard_join.drop_copies(none, 4, 85).count() == 1
+
+
+def test_fine_sketches():
+    rng = np.random.default_rng(3)
+    bands = jaccard_join.Bands(80)
+    for size in (40, 700, 5000):
+        own = rng.integers(0, 1 << 62, size, dtype=np.uint64)
+        for drop in (0, 1, size // 20, size // 5, size // 2):
+            other = np.concatenate((own[drop:], rng.integers(0, 1 << 62, size // 30, dtype=np.uint64)))
+            apart = len(np.setxor1d(own, other))
+            bits = jaccard_join.fine_bits(np.array([len(own), len(other)]), bands)
+            row = np.repeat([0, 1], [len(own), len(other)])
+            x, y = (np.frombuffer(b, np.uint64) for b in jaccard_join.fine_parity(row, np.concatenate((own, other)), bits))
+            assert jaccard_join.apart(x, y) <= apart
+            both = len(np.intersect1d(own, other))
+            if 100 * both >= 80 * (len(own) + len(other) - both):
+                assert jaccard_join.may_link(len(own), len(other), x, y, 80)
+
+
 def test_jaccard_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 4)
+    monkeypatch.setattr(jaccard_join, "HOT", 3)
     texts = near_copies()
     for width, num in ((4, 85), (5, 80)):
         got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_classes(frame(spark, texts), width, num).collect()}
