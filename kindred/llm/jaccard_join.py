@@ -12,7 +12,7 @@ Hamming distance that is at most the symmetric difference, and drops most false
 
 Work within a bucket stays linear where copies are many: a set is compared first with the bucket's least member it meets most
 often; members already in one component need no more comparison.  Only buckets that still hold several components are searched
-further, in tiles of bounded size, first the nearest member of each other component, then all that is left between components.
+further, in tiles of bounded size: first along a few spanning forests of nearest pairs, then all that is left between components.
 So all classes are exact while pairs inside a class are not expanded.
 
 Null, empty and blank texts have no shingle and link with nothing; texts with fewer words than a shingle are one shingle.  Rows
@@ -37,6 +37,8 @@ from kindred.operators.components import components
 
 BITS = 1024
 TILE = 2048
+#: Spanning forests of a tile's components that are verified before all pairs between what is left.
+FORESTS = 3
 #: Keys that a task holds before it gives them out, and how many sets it must then hold of a key to lead them itself.
 HELD, HOT = 1 << 19, 64
 #: Ids that are broadcast to pick texts (16 bytes each); more meet the texts in a shuffle join.
@@ -298,12 +300,40 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "xa", "xb").mapInArrow(run, "a bigint, b bigint")
 
 
+def forest(a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Row numbers of the edges (a, b) between ``n`` vertices that make a lightest spanning forest."""
+    order = np.argsort(weight, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    label, chosen = np.arange(n), np.zeros(len(a), bool)
+    while True:
+        x, y = label[a], label[b]
+        open_edges = np.flatnonzero(x != y)
+        if not len(open_edges):
+            return np.flatnonzero(chosen)
+        best = np.full(n, len(order))
+        np.minimum.at(best, x[open_edges], rank[open_edges])
+        np.minimum.at(best, y[open_edges], rank[open_edges])
+        vertex = np.flatnonzero(best < len(order))
+        edge = order[best[vertex]]
+        chosen[edge] = True
+        parent = np.arange(n)
+        parent[vertex] = np.where(x[edge] == vertex, y[edge], x[edge])
+        both = (parent[parent[vertex]] == vertex) & (vertex < parent[vertex])
+        parent[vertex[both]] = vertex[both]
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label = parent[label]
+
+
 def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
     """rows(key, ti, tj, tile, fp, comp, n, sketch), a tile pair's rows together: candidate pairs across components.
 
-    ``nearest``: only the nearest pair of each two components, else all pairs that sizes and sketches allow.  A task gives each
-    pair once, in whichever of its buckets it comes up."""
+    ``nearest``: only ``FORESTS`` lightest spanning forests of the graph of components, joined where they are nearest, so a few
+    pairs for each component; else all pairs that sizes and sketches allow.  A task gives each pair once, in whichever of its
+    buckets it comes up."""
     far = np.int64(1 << 40)
+    forests = FORESTS
 
     def search(g: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         comp, n, tile, fp = g["comp"], g["n"], g["tile"], g["fp"]
@@ -319,6 +349,7 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
         start, xr, nr, cr = cuts(right), x[right], n[right], comp[right]
         size = np.diff(np.append(start, len(right)))
         ends = np.append(cuts(left), len(left))
+        joints: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             own = comp[left[lo]]
             other = cr > own if same else cr != own
@@ -342,7 +373,16 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
             if nearest and (best < far).any():
                 hit = np.flatnonzero((best == np.repeat(np.minimum.reduceat(best, start), size)) & (best < far))
                 hit = hit[np.unique(np.repeat(np.arange(len(start)), size)[hit], return_index=True)[1]]
-                yield fp[which[hit]], fp[right[hit]]
+                joints.append((which[hit].astype(np.int32), right[hit].astype(np.int32), best[hit].astype(np.int32)))
+        if joints:
+            a, b, weight = (np.concatenate(part) for part in zip(*joints, strict=True))
+            vertex = np.unique(comp, return_inverse=True)[1]
+            for _ in range(forests):
+                kept = forest(vertex[a], vertex[b], weight, len(vertex))
+                yield fp[a[kept]], fp[b[kept]]
+                a, b, weight = (np.delete(part, kept) for part in (a, b, weight))
+                if not len(a):
+                    break
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

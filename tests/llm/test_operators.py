@@ -152,6 +152,21 @@ def test_fine_sketches():
                 assert jaccard_join.may_link(len(own), len(other), x, y, 80)
 
 
+def test_forest_spans():
+    rng = np.random.default_rng(8)
+    for n, m in ((2, 1), (30, 40), (60, 400)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        weight = rng.integers(0, 9, m)
+        kept = jaccard_join.forest(a, b, weight, n)
+        parent, total = {i: i for i in range(n)}, 0
+        find = find_roots(parent)
+        for e in np.argsort(weight, kind="stable").tolist():
+            if find(a[e]) != find(b[e]):
+                parent[find(a[e])] = find(b[e])
+                total += weight[e]
+        assert weight[kept].sum() == total and len(kept) == n - len({find(i) for i in range(n)})
+
+
 def test_jaccard_join(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "TILE", 4)
     monkeypatch.setattr(jaccard_join, "HOT", 3)
