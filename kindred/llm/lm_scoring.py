@@ -15,7 +15,8 @@ The word baseline joins each document's words with the training counts of all wo
 looked up in place (bounded); all others meet their counts in a shuffle join by word.
 
 Null reads as the empty text, which has only the end symbol.  Without training rows every byte costs log10(257) and the
-baseline has V = N = 0.  Repeated ids are scored row by row.  Further columns need no care.
+baseline has V = N = 0.  An empty table gives an empty table.  Rows are scored one by one, whatever their ids (repeated, null);
+further columns need no care.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kindred.llm.common import fold, frugal, lowered, materialise, table, text_chunks
+from kindred.llm.common import discard, fold, frugal, lowered, materialise, table, text_chunks
 
 ORDER = 5
 #: Windows and words looked up in place; the others are joined.
-HEAD_GRAMS, HEAD = 1 << 20, 1 << 16
+HEAD_GRAMS, HEAD = 1 << 19, 1 << 16
 #: Neither byte occurs in UTF-8.
 START, END = 0xFE, 0xFF
 
@@ -170,7 +172,7 @@ def count_windows(docs: DataFrame, trained: Column, order: int = ORDER, text_col
         keys, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for batch in batches:
             flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for first, end, data, offsets in text_chunks(batch.column(0), 1 << 20):
+            for first, end, data, offsets in text_chunks(batch.column(0)):
                 rows, packed = windows(data, offsets, order)
                 packed[flags[first:end][rows]] |= _TRAINED
                 k, c = np.unique(packed, return_counts=True)
@@ -235,6 +237,7 @@ def gram_scores(grams: DataFrame, model: Model) -> DataFrame:
     out = ended[0]
     for more in ended[1:]:
         out = out.unionByName(more)
+    discard(*(nodes[k] for k in range(model.order)))
     return out.select("gram", "met", "score")
 
 
@@ -261,41 +264,6 @@ def _least(scores: DataFrame, capacity: int) -> int:
     return 1
 
 
-def window_sums(docs: DataFrame, scores: DataFrame, order: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ppm) in one or more rows for each row of ``docs``; their sum is its score."""
-    least = _least(scores, HEAD_GRAMS)
-    top = scores.where(F.col("met") >= least).select("gram", "score").toArrow()
-    key = uuid.uuid4().hex
-    held = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy().astype(np.int64).view(np.uint64), top["score"].to_numpy().astype(np.float64)))
-    del top
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = made(held.value[0], key)
-        value = held.value[1]
-        for batch in batches:
-            for first, end, data, offsets in text_chunks(batch.column(1), 1 << 20):
-                rows, packed = windows(data, offsets, order)
-                at = known.find(packed)
-                hit = at >= 0
-                ppm = np.bincount(rows[hit], value[at[hit]], end - first)
-                rows, packed = rows[~hit], packed[~hit]
-                by = np.lexsort((packed, rows))
-                rows, packed = rows[by], packed[by]
-                start = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (packed[1:] != packed[:-1])))) if len(rows) else np.zeros(0, np.int64)
-                n = np.diff(np.append(start, len(rows)))
-                m = end - first
-                # a row for each document, keyed apart so that these spread, and one for each of its windows that isn't frequent
-                ids = batch.column(0).take(pa.array(np.concatenate((np.arange(m), rows[start])) + first))
-                grams = np.concatenate((-1 - np.arange(m), packed[start].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(grams), pa.array(np.concatenate((np.zeros(m), n)).astype(np.int32)), pa.array(np.concatenate((ppm, np.zeros(len(start)))))], names=["id", "gram", "n", "ppm"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, gram bigint, n int, ppm double")
-    tail = scores.where(F.col("met") < least).select("gram", F.col("score").alias("each"))
-    return parts.join(tail, "gram", "left").select("id", (F.col("ppm") + F.coalesce(F.col("n") * F.col("each"), F.lit(0.0))).alias("ppm"))
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n) over every row; the end of each text counts as the token with a null word."""
 
@@ -317,60 +285,75 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+def _parts(docs: DataFrame, order: int, scores: DataFrame, counts: DataFrame, ends: int) -> tuple[DataFrame, Column]:
+    """What one pass over docs(id, text) finds, and which windows it looked up: for every row its own sums over frequent windows
+    and words (``own``), then a row for each of its other distinct windows (gram) and words (word) with their number.
+
+    ``row`` tells rows apart, whatever their ids."""
+    least = _least(scores, HEAD_GRAMS)
+    top = scores.where(F.col("met") >= least).select("gram", "score").toArrow()
+    words = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    held = docs.sparkSession.sparkContext.broadcast((top["gram"].to_numpy().astype(np.int64).view(np.uint64), top["score"].to_numpy().astype(np.float64), {bytes(w): math.log10(n + 1) for w, n in zip(words["word"], words["n"].tolist(), strict=True)}))
+    del top, words
+    key, end_log, end_known = uuid.uuid4().hex, math.log10(ends + 1), int(ends > 0)
+
+    @frugal
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = made(held.value[0], key)
+        value, log = held.value[1:]
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for first, end, data, offsets in text_chunks(batch.column(1)):
+                m = end - first
+                rows, packed = windows(data, offsets, order)
+                at = known.find(packed)
+                hit = at >= 0
+                ppm = np.bincount(rows[hit], value[at[hit]], m)
+                rows, packed = rows[~hit], packed[~hit]
+                by = np.lexsort((packed, rows))
+                rows, packed = rows[by], packed[by]
+                start = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (packed[1:] != packed[:-1])))) if len(rows) else np.zeros(0, np.int64)
+                base, seen, tokens = np.full(m, end_log), np.full(m, end_known), np.ones(m, np.int64)
+                word, n, of = [], [], []
+                for k, text in enumerate(batch.column(1).slice(first, m).to_pylist()):
+                    for w, c in Counter((text or "").encode().lower().split()).items():
+                        tokens[k] += c
+                        if (x := log.get(w)) is None:
+                            word.append(w), n.append(c), of.append(k)
+                        else:
+                            base[k] += c * x
+                            seen[k] += c
+                g, w = len(start), len(word)
+                row = np.concatenate((np.arange(m), rows[start], np.array(of, np.int64)))
+                own = np.arange(m + g + w) < m
+                of_own = lambda x, kind: pa.array(np.concatenate((x, np.zeros(g + w))), kind, mask=~own, safe=False)  # noqa: E731, B023
+                ids = pa.concat_arrays([batch.column(0).slice(first, m), pa.nulls(g + w, batch.column(0).type)])
+                grams = pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(packed[start].view(np.int64)), pa.nulls(w, pa.int64())])
+                count = np.concatenate((np.zeros(m), np.diff(np.append(start, len(rows))), n)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row + number), pa.array(own), ids, grams, pa.array([None] * (m + g) + word, pa.binary()), pa.array(count), of_own(ppm, pa.float64()), of_own(base, pa.float64()), of_own(seen, pa.int64()), of_own(tokens, pa.int64())], names=["row", "own", "id", "gram", "word", "n", "ppm", "base", "known", "tokens"])
+                number += m
+
+    kind = docs.schema["id"].dataType.simpleString()
+    parts = docs.mapInArrow(run, f"row bigint, own boolean, id {kind}, gram bigint, word binary, n bigint, ppm double, base double, known bigint, tokens bigint")
+    return materialise(parts, "lm-parts"), F.col("met") < least
+
+
 def score(docs: DataFrame, model: Model, counts: DataFrame, id_col: str = "doc_id", text_col: str = "text", grams: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score.
 
     grams(gram, met) are the distinct windows of ``docs``, if they have been counted already."""
-    spark = docs.sparkSession
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("n"))), F.lit(0)).alias("ends")).first()
-    top = counts.where("word is not null").orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
-    head = dict(zip(map(bytes, top["word"]), top["n"].tolist(), strict=True))
-    held = spark.sparkContext.broadcast((head, math.log10(totals["ends"] + 1), totals["ends"] > 0))
     if grams is None:
         grams = count_windows(docs, F.lit(False), model.order, text_col)
-    ppm = window_sums(docs, gram_scores(grams.select("gram", "met"), model), model.order, id_col=id_col, text_col=text_col)
-
-    @frugal
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, end_log, end_known = held.value
-        log = {w: math.log10(c + 1) for w, c in common.items()}
-        for batch in batches:
-            ids = batch.column(0)
-            texts = batch.column(1).to_pylist()
-            words, n, base, known, tokens, at = [], [], [], [], [], []
-            for k, text in enumerate(texts):
-                own = Counter((text or "").encode().lower().split())
-                total, sum_log, n_known = 1, end_log, int(end_known)
-                for word, c in own.items():
-                    total += c
-                    value = log.get(word)
-                    if value is None:
-                        words.append(word), n.append(c), at.append(k)
-                    else:
-                        sum_log += c * value
-                        n_known += c
-                base.append(sum_log), known.append(n_known), tokens.append(total)
-            m = len(texts)
-            take = pa.array([*range(m), *at], pa.int64())
-            # a row for each document, keyed apart so that these spread, and one for each of its words that isn't common
-            own_key = [b"\xff" + k.to_bytes(4, "big") + bytes(str(i), "utf-8") for k, i in enumerate(ids.to_pylist())]
-            zero = np.zeros(len(words))
-            yield pa.RecordBatch.from_arrays([ids.take(take), pa.array(np.concatenate(([1] * m, zero)).astype(np.int32)), pa.array(own_key + words, pa.binary()), pa.array(np.concatenate((np.zeros(m), n)).astype(np.int64)), pa.array(np.concatenate((base, zero))), pa.array(np.concatenate((known, zero)).astype(np.int64)), pa.array(np.concatenate((tokens, zero)).astype(np.int64))], names=["id", "own", "word", "n", "base", "known", "tokens"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, own int, word binary, n bigint, base double, known bigint, tokens bigint")
-    tail = counts.where("word is not null").select("word", F.col("n").alias("seen"))
-    joined = parts.join(tail, "word", "left")
-    of_words = joined.select(
-        "id",
-        "tokens",
-        (F.col("known") + F.when(F.col("seen").isNotNull(), F.col("n")).otherwise(0)).alias("known"),
-        (F.col("base") + F.when(F.col("seen").isNotNull(), F.col("n") * F.log10(F.col("seen") + 1)).otherwise(0.0)).alias("base"),
-        F.lit(0.0).alias("ppm"),
-    )
-    nothing = F.lit(0).cast("bigint")
-    both = of_words.unionByName(ppm.select("id", nothing.alias("tokens"), nothing.alias("known"), F.lit(0.0).alias("base"), "ppm"))
-    summed = both.groupBy("id").agg(F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("log_sum"), F.sum("ppm").alias("score"))
+    scores = gram_scores(grams.select("gram", "met"), model)
+    parts, joined = _parts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model.order, scores, counts, totals["ends"])
+    own = parts.where("own").select("row", "id", "ppm", "base", "known", "tokens")
+    none, nothing, zero = F.lit(None).cast(docs.schema[id_col].dataType), F.lit(0).cast("bigint"), F.lit(0.0)
+    of_grams = parts.where("gram is not null").select("row", "gram", "n").join(scores.where(joined).select("gram", F.col("score").alias("each")), "gram")
+    of_words = parts.where("word is not null").select("row", "word", "n").join(counts.where("word is not null").select("word", F.col("n").alias("seen")), "word")
+    every = own.unionByName(of_grams.select("row", none.alias("id"), (F.col("n") * F.col("each")).alias("ppm"), zero.alias("base"), nothing.alias("known"), nothing.alias("tokens")))
+    every = every.unionByName(of_words.select("row", none.alias("id"), zero.alias("ppm"), (F.col("n") * F.log10(F.col("seen") + 1)).alias("base"), F.col("n").alias("known"), nothing.alias("tokens")))
+    summed = every.groupBy("row").agg(F.first("id", ignorenulls=True).alias("id"), F.sum("tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("log_sum"), F.sum("ppm").alias("score"))
     total = totals["n"] + totals["v"] + 1
     return summed.select("id", "n_tokens", "n_known", F.lit(totals["n"]).cast("bigint").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(math.log10(total))).alias("base_score"), "score")
 

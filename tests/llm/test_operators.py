@@ -234,6 +234,21 @@ def test_lm_scoring(spark):
     assert all(r["train_tokens"] == 0 and math.isfinite(r["score"]) and math.isfinite(r["base_score"]) for r in nothing)
 
 
+def test_lm_scoring_rows_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "HEAD_GRAMS", 5)
+    monkeypatch.setattr(lm_scoring, "HEAD", 1)
+    texts = ["alpha beta gamma", "alpha beta gamma", "delta " * 30, None, "alpha beta gamma", "x"]
+    apart = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    ids = [1, 1, 1, None, None, None]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    shown = lambda rows: sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 9), round(r["score"], 9)) for r in rows)
+    got = lm_scoring.score(df, lm_scoring.train(apart), lm_scoring.word_counts(apart)).collect()
+    assert Counter(r["id"] for r in got) == Counter(ids)
+    assert shown(got) == shown(lm_scoring.score(apart, lm_scoring.train(apart), lm_scoring.word_counts(apart)).collect())
+    assert shown(got)[:2] != shown(got)[-2:] and [r["n_tokens"] for r in got if r["id"] == 1].count(4) == 2
+    assert lm_scoring.score(df.limit(0), lm_scoring.train(apart), lm_scoring.word_counts(apart)).count() == 0
+
+
 def test_lm_scoring_keeps_every_window(spark):
     rng = np.random.default_rng(12)
     texts = [bytes(rng.integers(97, 123, 6000, np.uint8)).decode() for _ in range(100)] + ["the same words again and again " * 40]
