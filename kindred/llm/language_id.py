@@ -3,10 +3,12 @@
 Training counts byte 4-grams of letters by language over every labelled row of the training folds (pre-aggregated by task,
 then by key; at most languages x 65,536 numbers reach the driver).  A document is a mixture: expectation-maximisation over
 its n-grams estimates the proportion of each language, and the set of languages is the one with the best likelihood less a
-penalty for each language (the single best language, or the mixture's languages above a least share).
+penalty for each language, of the sets of its largest shares (two languages, three, ... above a least share) and the best single
+language.  Texts without a whole window are read with blanks around them.
 
 Null texts and texts without a letter are ``und`` with score 0, as is everything when nothing was learned.  Labels that are
-null teach nothing.  Ties go to the language first in alphabetical order.  Repeated rows and further columns need no care.
+null teach nothing.  Ties go to the language first in alphabetical order.  An empty table gives an empty table; repeated rows and
+further columns need no care.
 """
 
 from __future__ import annotations
@@ -118,20 +120,42 @@ def mixture(model: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[n
         share = new
         if done:
             break
-    kept = np.where(share >= np.minimum(LEAST_SHARE, share.max(0)), share, 0)
-    kept /= kept.sum(0)
-    mixed = np.add.reduceat(n * (top + np.log(np.maximum((p * np.repeat(kept, span, axis=1)).sum(0), 1e-30))), has)
-    size = (kept > 0).sum(0)
-    single = alone.argmax(0)
-    prefer = mixed - PENALTY * np.log(total + 1) * size > alone.max(0) - PENALTY * np.log(total + 1)
-    pure = np.zeros_like(kept)
-    pure[single, np.arange(len(has))] = share[single, np.arange(len(has))]
-    out[which] = np.where(prefer & (size > 1), kept, pure).T
+    out[which] = _chosen(share, alone, p, top, n, total, has, span).T
     seen = np.zeros(n_rows, bool)
     seen[which] = True
     return out, seen
 
 
+def _chosen(share: np.ndarray, alone: np.ndarray, p: np.ndarray, top: np.ndarray, n: np.ndarray, total: np.ndarray, has: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """(languages x rows): the shares of the best set of each row, of the sets that hold its largest shares (each of
+    ``LEAST_SHARE`` at least) and the best language alone, by likelihood less the penalty of its size; ties to the smaller set."""
+    cost = PENALTY * np.log(total + 1)
+    single = alone.argmax(0)
+    at = np.arange(len(has))
+    out = np.zeros_like(share)
+    out[single, at] = share[single, at]
+    best = alone.max(0) - cost
+    rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0)
+    most = (share >= LEAST_SHARE).sum(0)
+    for size in range(2, int(most.max(initial=0)) + 1):
+        rows = np.flatnonzero(most >= size)
+        kept = np.where(rank[:, rows] < size, share[:, rows], 0)
+        kept /= kept.sum(0)
+        inside = np.repeat(most >= size, span)
+        ends = np.concatenate(([0], np.cumsum(span[rows])))[:-1]
+        mixed = np.add.reduceat(n[inside] * (top[inside] + np.log(np.maximum((p[:, inside] * np.repeat(kept, span[rows], axis=1)).sum(0), 1e-30))), ends)
+        better = mixed - cost[rows] * size > best[rows]
+        best[rows[better]] = (mixed - cost[rows] * size)[better]
+        out[:, rows[better]] = kept[:, better]
+    return out
+
+
+def _padded(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The given rows of a chunk, with two blanks around each, so that even one letter stands in a window."""
+    parts = [b"  " + data[offsets[k] : offsets[k + 1]].tobytes() + b"  " for k in rows.tolist()]
+    return np.frombuffer(b"".join(parts), np.uint8), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+
+
 def predictions(texts: pa.Array, names: list[str], model: np.ndarray) -> Iterator[tuple[list[str], list[float], list[list[dict]]]]:
     """(languages, scores, mixtures) of the rows of a column, in runs of rows."""
     for first, end, data, offsets in text_chunks(texts, max(1 << 16, (1 << 23) // max(4, len(names)))):
@@ -140,7 +164,9 @@ def predictions(texts: pa.Array, names: list[str], model: np.ndarray) -> Iterato
         has_letter &= np.diff(offsets) > 0
         for k in np.flatnonzero(~has_letter & (np.diff(offsets) > 0)):
             has_letter[k] = any(map(str.isalpha, own[int(k)].as_py()))
-        share = mixture(model, data, offsets)[0] if names else np.zeros((end - first, 1))
+        share, seen = mixture(model, data, offsets) if names else (np.zeros((end - first, 1)), has_letter)
+        if (short := np.flatnonzero(has_letter & ~seen)).size:
+            share[short] = mixture(model, *_padded(data, offsets, short))[0]
         best = share.argmax(1)
         pred, score, mixes = [], [], []
         for k in range(end - first):

@@ -12,8 +12,9 @@ members are near enough, and split otherwise; single vectors are compared by dou
 returns link counts by vector and a spanning forest of the links it saw, both linear in the vectors it holds, never the pairs.
 
 A vector that is null, empty, zero or holds null or non-finite components links with nothing, and so do vectors of different
-length.  Repeated vectors link with each other.  ``n_links`` counts rows, so repeated ids count as rows; component ids are
-least ids.  An empty table gives an empty table; further columns are ignored.
+length.  Repeated vectors link with each other.  Rows stand for themselves whatever their ids: ``n_links`` counts other rows,
+and a component's id is the least id in it that is not null (null where all are; such rows are kept).  An empty table gives an
+empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +34,8 @@ from kindred.operators.components import components
 
 THRESHOLD = 0.9
 SAMPLE, CENTRES, NODE_ROWS = 8192, 256, 3072
+#: Pairs of nodes that are broadcast; more meet their nodes in a shuffle join.
+BROADCAST_PAIRS = 1 << 18
 #: Slack for bounds in double precision: what is nearer to a bound than this is decided by its own dot product.
 SLACK = 1e-9
 LEVELS = 4
@@ -39,10 +43,11 @@ BLOCK = 1024
 
 
 def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, v): the unit vector as float64 bytes, null where the row can't link."""
+    """(row, id, v): a number of the row's own, and the unit vector as float64 bytes, null where the row can't link."""
 
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: list[bytes | None] = []
             for row in batch.column(1).to_pylist():
@@ -54,10 +59,11 @@ def vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
                         x = x / top
                         v = (x / math.sqrt(float(x @ x))).tobytes()
                 out.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(out))), batch.column(0), pa.array(out, pa.binary())], names=["row", "id", "v"])
+            number += len(out)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(run, f"id {kind}, v binary")
+    return df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(run, f"row bigint, id {kind}, v binary")
 
 
 def net(x: np.ndarray, radius: float, most: int | None = None) -> np.ndarray:
@@ -243,27 +249,28 @@ def dual(left: Tree, right: Tree, same: bool, threshold: float) -> tuple[np.ndar
 
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of ``df``: id, n_links, component_id and kept."""
-    spark = df.sparkSession
     reach = math.sqrt(2 - 2 * threshold)
-    kind = df.schema[id_col].dataType.simpleString()
     every = materialise(vectors(df, id_col, vector_col), "unit-vectors")
     found = None
     for (width,) in every.where("v is not null").select(F.length("v")).distinct().collect():
-        rows = every.where(F.length("v") == width)
-        part = _links(rows, threshold, reach, kind, width // 8)
+        part = _links(every.where(F.length("v") == width).select(F.col("row").alias("id"), "v"), threshold, reach, width // 8)
         found = part if found is None else found.unionByName(part)
     if found is None:
         return every.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     found = materialise(found, "links")
-    counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
+    counts = found.where("n is not null").groupBy(F.col("id").alias("row")).agg(F.sum("n").alias("n_links"))
     labels = components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    out = every.select("id").join(counts, "id", "left").join(labels, F.col("id") == F.col("vertex"), "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    linked = every.select("row", "id").join(labels, F.col("row") == F.col("vertex")).select("row", "id", "component")
+    least = linked.groupBy("component").agg(F.min("id").alias("component_id"))
+    of_row = linked.join(least, "component").select("row", "component_id", F.lit(True).alias("linked"))
+    out = every.select("row", "id").join(counts, "row", "left").join(of_row, "row", "left")
+    component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def _links(rows: DataFrame, threshold: float, reach: float, kind: str, width: int) -> DataFrame:
-    spark = rows.sparkSession
+def _links(rows: DataFrame, threshold: float, reach: float, width: int) -> DataFrame:
+    """(id, n, other) of rows(id, v), whose ids are row numbers: link counts, and the edges of a spanning forest."""
+    spark, kind = rows.sparkSession, "bigint"
     sample = rows.orderBy(F.xxhash64("v"), "id").limit(SAMPLE).select("v").toPandas()
     centres = top(np.stack([np.frombuffer(v, np.float64) for v in sample["v"]]), reach)
     held = spark.sparkContext.broadcast(centres)
@@ -319,7 +326,7 @@ def _links(rows: DataFrame, threshold: float, reach: float, kind: str, width: in
         return pdf.assign(nets=[row.tobytes() for row in np.concatenate((found, centre.astype(np.int32)), axis=1)])
 
     grown = noded.groupBy("node").applyInPandas(label, f"id {kind}, v binary, node int, nets binary")
-    paired = grown.join(F.broadcast(plan), "node").select("id", "v", "node", "nets", F.explode("pairs").alias("pair"))
+    paired = grown.join(F.broadcast(plan) if first[-1] <= BROADCAST_PAIRS else plan, "node").select("id", "v", "node", "nets", F.explode("pairs").alias("pair"))
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["node", "id"], kind="stable")

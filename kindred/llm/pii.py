@@ -13,8 +13,8 @@ pattern nor a frequent instance is gathered anywhere.
 
 Null and empty texts have no spans.  Each base kind is scanned from the left without overlap, failing matches drop without a
 retry; offsets are in code points, end exclusive; spans are ordered by start, then kind as listed, the added kinds last.
-Expressions use possessive loops, which neither recurse nor backtrack on very long texts.  Rows that repeat give the same spans
-each; ties between kinds go to the kind listed first; an empty table gives an empty table; further columns are ignored.
+Expressions use possessive loops, which neither recurse nor backtrack on very long texts.  Rows are
+scanned one by one, whatever their ids (repeated, null); ties between kinds go to the kind listed first; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -112,9 +112,9 @@ def _free(t: Column) -> Column:
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, seeds, found) of every row: base spans, these as instances, and candidates apart from them."""
+    """(row, id, base, seeds, found) of every row, ``row`` being a number of its own: base spans, these as instances, and candidates apart from them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"), F.coalesce(tokens(text), F.array().cast(TOKENS)).alias("tokens"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"), base_spans(text).alias("base"), F.coalesce(tokens(text), F.array().cast(TOKENS)).alias("tokens"))
     # a base span begins and ends in tokens with a digit or @, which know the words around it
     seeds = F.transform(
         "base",
@@ -126,7 +126,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         ),
     )
     marked = F.transform("tokens", lambda t: t.withField("free", _free(t)))
-    rows = rows.select("id", "text", "base", seeds.alias("seeds"), marked.alias("tokens"))
+    rows = rows.select("row", "id", "text", "base", seeds.alias("seeds"), marked.alias("tokens"))
     joins = lambda t, last: t["follows"] & t["digit"] & t["free"] & last["digit"] & last["free"]
     linked = F.transform("tokens", lambda t, i: F.when(i > 0, joins(t, F.get("tokens", i - 1))).otherwise(False))
     rows = rows.withColumn("linked", linked)
@@ -141,7 +141,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = F.transform("tokens", lambda t, i: F.struct(t["start"].alias("start"), t["value"].alias("value"), t["word_before"].alias("left"), t["word_after"].alias("right"), (F.get("linked", i) | F.coalesce(F.get("linked", i + 1), F.lit(False))).alias("part"), t["free"].alias("free")))
     single = F.transform(F.filter(own, lambda t: t["free"]), lambda t: t.dropFields("free"))
     found = F.filter(F.concat(single.cast(FOUND), longer.cast(FOUND)), lambda c: F.length(c["value"]) >= LEAST_LENGTH)
-    return rows.select("id", "base", "seeds", found.alias("found"))
+    return rows.select("row", "id", "base", "seeds", found.alias("found"))
 
 
 def unseen(rows: DataFrame) -> DataFrame:
@@ -168,12 +168,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per row of ``docs``: id, base and spans (arrays of start, rank, end, kind, value)."""
     rows = materialise(scanned(docs, id_col, text_col), "scanned")
     known = unseen(rows)
-    exploded = rows.where(F.size("found") > 0).select("id", F.explode("found").alias("c")).select("id", F.col("c.start").alias("start"), F.col("c.value").alias("value"))
+    exploded = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", F.col("c.start").alias("start"), F.col("c.value").alias("value"))
     rank = F.lit(len(KINDS)) + F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
-    new = exploded.join(known, "value").select("id", F.struct("start", rank.cast("int").alias("rank"), (F.col("start") + F.length("value")).cast("int").alias("end"), F.concat("kind", F.lit("_like")).alias("kind"), "value").alias("span"))
-    by_id = new.groupBy("id").agg(F.collect_set("span").cast(SPAN).alias("more"))
+    new = exploded.join(known, "value").select("row", F.struct("start", rank.cast("int").alias("rank"), (F.col("start") + F.length("value")).cast("int").alias("end"), F.concat("kind", F.lit("_like")).alias("kind"), "value").alias("span"))
+    by_row = new.groupBy("row").agg(F.collect_set("span").cast(SPAN).alias("more"))
     outer = F.filter("more", lambda m: ~F.exists("more", lambda o: (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (o["end"] - o["start"] > m["end"] - m["start"])))
-    joined = rows.select("id", "base").join(by_id.withColumn("more", outer), "id", "left")
+    joined = rows.select("row", "id", "base").join(by_row.withColumn("more", outer), "row", "left")
     apart = F.filter(F.coalesce("more", F.array().cast(SPAN)), lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"])))
     return joined.select("id", "base", F.array_sort(F.concat("base", apart)).alias("spans"))
 

@@ -107,6 +107,13 @@ def jaccard_brute(texts, width, num):
     return {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def test_near_dedup_rows_of_one_id(spark):
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [1.0, 0.01]), (2, [0.0, 1.0]), (None, [0.0, -1.0]), (None, None), (7, None), (7, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter((r["id"], r["n_links"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect())
+    assert got == Counter([(None, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (2, 0, 2, True), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)])
+
+
 def near_copies():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
@@ -330,7 +337,17 @@ def test_token_counts(spark):
             for budget in (0, 1, 3, 7):
                 assert own.longest_within(t, budget) == max(k for k, c in enumerate(prefixes) if c <= budget)
     rows = token_counts.token_prefixes(frame(spark, [None, "", "Hello hello", "word " * 3000]), limit=2048).orderBy("id").collect()
-    assert [(r["n_bytes"], r["n_tokens"]) for r in rows] == [(0, 0), (0, 0), (11, 2), (15000, 3000)] and rows[2]["piece_count"] == [1, 2] and rows[3]["within"] == 2048 * 5
+    assert [(r["n_bytes"], r["n_tokens"]) for r in rows] == [(0, 0), (0, 0), (11, 2), (15000, 3000)] and rows[3]["within"] == 2048 * 5
+    table = lambda r: [token_counts.unpacked(r[c]).tolist() for c in ("piece_ends", "piece_counts")]
+    assert table(rows[0]) == [[], []] and table(rows[2]) == [[5, 11], [1, 2]] and table(rows[3])[1] == list(range(1, 3001))
+    for t in texts:
+        ends, counts, length = own.stored(t)
+        normal = own.normalised(t)
+        assert length == len(normal) and (counts[-1] if len(counts) else 0) == count(t)
+        if "<|" not in t:
+            assert all(count(normal[:e]) == c for e, c in zip(ends.tolist(), counts.tolist(), strict=True)), t
+    assert token_counts.unpacked(token_counts.packed(np.array([3, 70000, 70000, 1 << 40]))).tolist() == [3, 70000, 70000, 1 << 40]
+    assert token_counts.token_prefixes(frame(spark, ["x"]).limit(0)).count() == 0
 
 
 def base_pii(x):
@@ -356,9 +373,13 @@ def test_pii(spark):
     got = {r["id"]: r["w"] for r in pii.find_pii(frame(spark, texts)).select("id", pii.written(F.col("base")).alias("w")).collect()}
     assert all(got[i] == base_pii(t or "") for i, t in enumerate(texts))
     told = [f"Mail me: user{i}@mail.com now. Ref {i} ok" for i in range(12)] + ["Mail me: weird(at)7host now", "call number 123456 soon"]
-    found = {r["id"]: r["w"] for r in pii.find_pii(frame(spark, told)).select("id", pii.written(F.col("spans")).alias("w")).collect()}
-    assert found[12] == "email_like:9:23" and found[13] == ""
-    plan = pii.find_pii(frame(spark, told))._jdf.queryExecution().toString()
+    ids = [*range(12), 50, 50, 60, None, None]
+    texts = [*told[:13], "short", told[13], told[12], "also short"]
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    spans = Counter((r["id"], r["w"]) for r in pii.find_pii(df).select("id", pii.written(F.col("spans")).alias("w")).collect() if r["id"] is None or r["id"] > 12)
+    assert spans == Counter([(50, "email_like:9:23"), (50, ""), (60, ""), (None, "email_like:9:23"), (None, "")])
+    assert pii.scanned(df.limit(0)).count() == 0
+    plan = pii.find_pii(df.limit(1))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
@@ -385,10 +406,41 @@ def test_language(spark):
     en, fr = (docs[docs.lang == x].text.iloc[0][:900] for x in ("en", "fr"))
     rows = language_id.identify(frame(spark, [None, "", "12 !?", "é", en, en + " " + fr]), names, model).orderBy("id").collect()
     assert [r["lang_pred"] for r in rows[:3]] == ["und"] * 3 and rows[4]["lang_pred"] == "en" and {m["lang"] for m in rows[5]["mix"]} == {"en", "fr"}
+    short = ["le", "the", "日", "und", "!", "der", "Le"]
+    got = [(r["lang_pred"], r["score"]) for r in language_id.identify(frame(spark, short), names, model).orderBy("id").collect()]
+    assert [p for p, _ in got[:2]] == ["fr", "en"] and got[4] == ("und", 0.0) and got[5][0] == "de" and got[6][0] == "fr" and all(x > 0 for p, x in got if p != "und")
+    assert language_id.identify(frame(spark, short).limit(0), names, model).count() == 0
     none = language_id.learn(frame(spark, ["x"]).withColumn("lang", F.lit(None).cast("string")))
     assert language_id.identify(frame(spark, ["abc"]), *none).first()["lang_pred"] == "und"
 
 
+def test_language_sets():
+    rng = np.random.default_rng(2)
+    model = np.log(rng.dirichlet(np.full(64, 0.3), 4)).astype(np.float32)
+    wide = np.full((4, language_id.BUCKETS), np.log(1e-6), np.float32)
+    texts = [bytes(rng.integers(97, 123, size, np.uint8)) for size in (5, 40, 400, 900)] + [b"abab" * 60 + b"xyzxyz" * 50]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    rows, bucket = language_id.grams(data, offsets)
+    own = np.unique(bucket)
+    wide[:, own] = model[:, rng.integers(0, 64, len(own))]
+    got = language_id.mixture(wide, data, offsets)[0]
+    for k in range(len(texts)):
+        seen, n = np.unique(bucket[rows == k], return_counts=True)
+        logs = wide[:, seen].astype(np.float64)
+        share = np.full(4, 0.25)
+        for _ in range(language_id.ROUNDS):
+            joint = np.exp(logs) * share[:, None]
+            share = (joint * n / joint.sum(0)).sum(1) / n.sum()
+        cost = language_id.PENALTY * math.log(n.sum() + 1)
+        sets = [((logs * n).sum(1).max() - cost, [int((logs * n).sum(1).argmax())])]
+        order = [j for j in np.argsort(-share, kind="stable") if share[j] >= language_id.LEAST_SHARE]
+        for size in range(2, len(order) + 1):
+            part = share[order[:size]] / share[order[:size]].sum()
+            sets.append(((n * np.log((np.exp(logs[order[:size]]) * part[:, None]).sum(0))).sum() - size * cost, order[:size]))
+        best = max(sets, key=lambda s: s[0])
+        assert set(np.flatnonzero(got[k]).tolist()) == set(best[1]) and int(got[k].argmax()) == max(best[1], key=lambda j: share[j])
+
+
 def test_mixing(spark):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
