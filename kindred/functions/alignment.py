@@ -1,77 +1,137 @@
 """Alignment kernels: tokens of two statements (global, affine gaps), and statements of two units (local, affine gaps).
 
+Both work on many pairs at a time, a whole row of every pair's matrix in each step.  Down and diagonal moves of a row depend on the
+row above alone.  A gap across never pays to open from another gap across, so its scores are a running maximum of the other scores,
+each raised by its place.  Cells that end a gap across take the start of the last cell before it that doesn't: a forward fill.
+
 All scores are integers in thousandths.  Ties matter and are fixed: a gap down beats a gap across beats the diagonal.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+
 from kindred.params import CloneParams
 
+#: Matrix cells that are worked on at a time.
+CELLS = 1 << 20
+
+Statement = tuple[int, tuple, object]
+
+
+def _batches(sizes: Sequence[tuple[int, int]]) -> Iterator[list[int]]:
+    """Numbers of pairs of matrices of these sizes, alike in size and together of bounded size when padded to the largest."""
+    now: list[int] = []
+    rows = columns = 0
+    for k in sorted(range(len(sizes)), key=lambda k: (max(sizes[k]), sizes[k])):
+        wider = max(rows, sizes[k][0]), max(columns, sizes[k][1])
+        if now and (len(now) + 1) * (wider[0] + 1) * (wider[1] + 1) > CELLS:
+            yield now
+            now, wider = [], sizes[k]
+        rows, columns = wider
+        now.append(k)
+    if now:
+        yield now
+
+
+def _padded(rows: Sequence[Sequence[int]], width: int, fill: int) -> np.ndarray:
+    out = np.full((len(rows), width), fill, np.int64)
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
+
+
+def token_similarities(pairs: Sequence[tuple[tuple, tuple]], p: CloneParams = CloneParams()) -> np.ndarray:
+    """Per-mille similarity of each two token sequences under global alignment; 0 where either is empty."""
+    out = np.zeros(len(pairs), np.int64)
+    name: dict = {}
+    number = lambda t: [name.setdefault(x, len(name)) for x in t]
+    for batch in _batches([(len(a), len(b)) for a, b in pairs]):
+        m, n = (np.array([len(pairs[k][side]) for k in batch]) for side in (0, 1))
+        if not m.max() or not n.max():
+            continue
+        a, b = _padded([number(pairs[k][0]) for k in batch], m.max(), -1), _padded([number(pairs[k][1]) for k in batch], n.max(), -2)
+        ramp = p.gap_extend * np.arange(n.max() + 1)
+        score = np.broadcast_to(-p.gap_open - ramp, (len(batch), n.max() + 1)).copy()
+        score[:, 0] = 0
+        down = np.broadcast_to(-p.gap_open - ramp, score.shape).copy()
+        last = np.zeros(len(batch), np.int64)
+        for i in range(m.max()):
+            edge = -p.gap_open - p.gap_extend * (i + 1)
+            down = np.maximum(score - p.gap_open, down) - p.gap_extend
+            best = np.empty_like(score)
+            best[:, 0] = edge
+            best[:, 1:] = np.maximum(score[:, :-1] + np.where(a[:, i, None] == b, p.reward, -p.penalty), down[:, 1:])
+            across = np.maximum.accumulate(best + ramp, axis=1)[:, :-1] - p.gap_open - ramp[1:]
+            best[:, 1:] = np.maximum(best[:, 1:], np.maximum(across, edge - ramp[1:]))
+            down[:, 0] = edge
+            score = best
+            ends = np.flatnonzero(m == i + 1)
+            last[ends] = score[ends, n[ends]]
+        some = (m > 0) & (n > 0)
+        out[batch] = np.where(some, np.maximum(last, 0) * 1000 // np.maximum(1, p.reward * np.minimum(m, n)), 0)
+    return out
+
 
 def token_similarity(a: tuple, b: tuple, p: CloneParams = CloneParams()) -> int:
-    """Per-mille similarity of two token sequences under global alignment; 0 if either is empty."""
-    m, n = len(a), len(b)
-    if not m or not n:
-        return 0
-    if a == b:
-        return 1000
-    first, more = p.gap_open + p.gap_extend, p.gap_extend
-    edge = lambda k: -(p.gap_open + p.gap_extend * k)
-    above = [0] + [edge(j) for j in range(1, n + 1)]
-    above_p = list(above)
-    for i in range(1, m + 1):
-        here = [edge(i)] + [0] * n
-        here_p = [edge(i)] + [0] * n
-        q = edge(i)
-        for j in range(1, n + 1):
-            down = max(above[j] - first, above_p[j] - more)
-            q = max(here[j - 1] - first, q - more)
-            diagonal = above[j - 1] + (p.reward if a[i - 1] == b[j - 1] else -p.penalty)
-            here[j], here_p[j] = max(diagonal, down, q), down
-        above, above_p = here, here_p
-    return max(0, above[n]) * 1000 // (p.reward * min(m, n))
-
-
-def similarity_bound(a: Counter, b: Counter, m: int, n: int, p: CloneParams = CloneParams()) -> int:
-    """No global alignment of sequences with these tokens is more similar than this."""
-    low, apart = min(m, n), abs(m - n)
-    if not low:
-        return 0
-    shared = sum(min(c, b[t]) for t, c in a.items() if t in b)
-    best = p.reward * shared - p.penalty * (low - shared) - ((p.gap_open + p.gap_extend * apart) if apart else 0)
-    return max(0, best) * 1000 // (p.reward * low)
+    return int(token_similarities([(tuple(a), tuple(b))], p)[0])
 
 
 class TokenMemo:
-    """Similarities of statement pairs, each worked out once; pairs that can't reach the threshold are not aligned at all."""
+    """Similarities of statement pairs, each worked out once."""
 
     def __init__(self, p: CloneParams, capacity: int = 200_000):
-        self.p, self.capacity, self.least = p, capacity, int(p.min_stmt_sim * 1000)
-        self.known: dict = {}
-        self.bags: dict = {}
-
-    def bag(self, t: tuple) -> Counter:
-        got = self.bags.get(t)
-        if got is None:
-            if len(self.bags) >= self.capacity:
-                self.bags.clear()
-            got = self.bags[t] = Counter(t)
-        return got
-
-    def __call__(self, a: tuple, b: tuple) -> int:
-        if a == b:
-            return 1000 if a else 0
-        key = (a, b)
-        got = self.known.get(key)
-        if got is None:
-            if len(self.known) >= self.capacity:
-                self.known.clear()
-            bound = similarity_bound(self.bag(a), self.bag(b), len(a), len(b), self.p)
-            got = self.known[key] = token_similarity(a, b, self.p) if bound >= self.least else bound
-        return got
+        self.p, self.capacity = p, capacity
+        self.known: dict[tuple[tuple, tuple], int] = {}
+
+    def learn(self, pairs: set[tuple[tuple, tuple]]) -> dict[tuple[tuple, tuple], int]:
+        """The similarities of these pairs."""
+        new = [x for x in pairs if x not in self.known]
+        found = dict(zip(new, token_similarities(new, self.p).tolist(), strict=True))
+        out = {x: self.known[x] if x in self.known else found[x] for x in pairs}
+        if len(self.known) + len(found) > self.capacity:
+            self.known.clear()
+        self.known |= found if len(found) <= self.capacity else {}
+        return out
+
+
+def _shared(a: Sequence[Statement], b: Sequence[Statement]) -> np.ndarray:
+    """How many tokens each two statements share, repeats counted: the k-th of a token meets the other's k-th of it."""
+    name: dict = {}
+
+    def marks(unit: Sequence[Statement]) -> list[list[int]]:
+        out = []
+        for _, tokens, _ in unit:
+            seen: Counter = Counter()
+            own = []
+            for t in tokens:
+                own.append(name.setdefault((t, seen[t]), len(name)))
+                seen[t] += 1
+            out.append(own)
+        return out
+
+    both = [marks(a), marks(b)]
+    rows = []
+    for unit in both:
+        x = np.zeros((len(unit), len(name)), np.float32)
+        for k, own in enumerate(unit):
+            x[k, own] = 1
+        rows.append(x)
+    return (rows[0] @ rows[1].T).astype(np.int64)
+
+
+def _hopeful(a: Sequence[Statement], b: Sequence[Statement], p: CloneParams) -> np.ndarray:
+    """Where statements are of one kind and no bound rules out that they are similar enough."""
+    m, n = (np.array([len(s[1]) for s in unit]) for unit in (a, b))
+    low, apart = np.minimum(m[:, None], n), np.abs(m[:, None] - n)
+    shared = _shared(a, b)
+    best = p.reward * shared - p.penalty * (low - shared) - np.where(apart > 0, p.gap_open + p.gap_extend * apart, 0)
+    kind = [np.array([s[0] for s in unit]) for unit in (a, b)]
+    return (kind[0][:, None] == kind[1]) & (low > 0) & (np.maximum(best, 0) * 1000 // np.maximum(1, p.reward * low) >= int(p.min_stmt_sim * 1000))
 
 
 @dataclass(frozen=True)
@@ -86,58 +146,80 @@ class Alignment:
     clone_type: int
 
 
-def align(a: list[tuple[int, tuple, str]], b: list[tuple[int, tuple, str]], p: CloneParams, similar=None) -> Alignment | None:
-    """Align units given as statements (kind, tokens, text).  None if no span is long and similar enough."""
-    similar = similar or TokenMemo(p)
-    if sum(len(s[1]) for s in a) < p.min_tokens or sum(len(s[1]) for s in b) < p.min_tokens:
-        return None
-    least_stmt, least = int(p.min_stmt_sim * 1000), int(p.min_sim * 1000)
-    first, more, reward = p.gap_open + p.gap_extend, p.gap_extend, p.reward
-    width = len(b) + 1
-    # one row back: score, gap score down, start in a and b, gap seen, tokens down and across
-    h, down = [0] * width, [0] * width
-    start_a, start_b, gap, tok_a = [0] * width, [0] * width, [False] + [True] * (width - 1), [0] * width
-    best: tuple | None = None
-    best_stmts = best_tokens = best_sim = 0
-    for i in range(1, len(a) + 1):
-        kind, tokens, _ = a[i - 1]
-        nh, ndown, nsa, nsb, ngap, nta = [0] * width, [0] * width, [0] * width, [0] * width, [True] * width, [0] * width
-        across, tok_b = 0, 0
-        for j in range(1, width):
-            a0, b0, g, top = i - 1, j - 1, False, 0
-            v = max(h[j] - first, down[j] - more)
-            if v > top:
-                if h[j] > 0:
-                    a0, b0, g = start_a[j], start_b[j], True
-                top = v
-            across = max(nh[j - 1] - first, across - more)
-            if across > top:
-                if nh[j - 1] > 0:
-                    a0, b0, g = nsa[j - 1], nsb[j - 1], True
-                top = across
-            c = h[j - 1]
-            other = b[j - 1]
-            sim = similar(tokens, other[1]) if kind == other[0] else 0
-            if kind == other[0] and sim >= least_stmt:
-                c += sim * reward // 1000
-            else:
-                c -= p.penalty
-                g = True
-            if c > top:
-                if h[j - 1] > 0:
-                    a0, b0, g = start_a[j - 1], start_b[j - 1], gap[j - 1]
-                top = c
-            at = len(tokens) + (tok_a[j] if a0 < i - 1 else 0)
-            tok_b = len(other[1]) + (tok_b if b0 < j - 1 else 0)
-            nh[j], ndown[j], nsa[j], nsb[j], ngap[j], nta[j] = top, v, a0, b0, g, at
-            stmts, toks = min(i - a0, j - b0), min(at, tok_b)
-            if stmts >= p.min_stmts and toks >= p.min_tokens:
-                whole = top * 1000 // (reward * stmts)
-                if whole >= least and ((best_stmts <= stmts and best_tokens <= toks) or whole >= best_sim):
-                    best, best_stmts, best_tokens, best_sim = (a0, i - 1, b0, j - 1, g), stmts, toks, whole
-        h, down, start_a, start_b, gap, tok_a = nh, ndown, nsa, nsb, ngap, nta
-    if best is None:
-        return None
-    a0, a1, b0, b1, g = best
-    same = a1 - a0 == b1 - b0 and all(a[a0 + k][2] == b[b0 + k][2] for k in range(a1 - a0 + 1))
-    return Alignment(a0, a1, b0, b1, best_sim, 2 if g else 0 if same else 1)
+def _best_spans(gain: np.ndarray, size: tuple[np.ndarray, np.ndarray], tokens: tuple[np.ndarray, np.ndarray], p: CloneParams) -> list[tuple | None]:
+    """The best span of each pair: (first in a, last in a, first in b, last in b, per-mille similarity, gap seen).
+
+    gain (pairs x statements of a x statements of b) is what each two statements add on the diagonal, tokens their numbers of
+    tokens; beyond a unit's size all is padding, which no cell before it looks at."""
+    count, rows, width = gain.shape
+    places = np.arange(width)
+    ramp = p.gap_extend * (places + 1)
+    before = np.cumsum(tokens[1], axis=1) - tokens[1]
+    zero = np.zeros((count, width + 1), np.int64)
+    score, down, own_tokens = zero, zero, zero[:, 1:]
+    begin = [zero, zero]
+    gap = zero > 0
+    best: list[tuple | None] = [None] * count
+    held = np.zeros((count, 3), np.int64)  # statements, tokens and similarity of the best so far
+    shifted = lambda x: np.concatenate((np.zeros((count, 1), x.dtype), x), axis=1)
+    for i in range(rows):
+        fall = np.maximum(score[:, 1:] - p.gap_open, down[:, 1:]) - p.gap_extend
+        cross = score[:, :-1] + gain[:, i]
+        settled = np.maximum(np.maximum(fall, cross), 0)
+        drift = np.maximum.accumulate(shifted(settled + ramp), axis=1)[:, :-1] - p.gap_open - ramp
+        falls = fall > 0
+        drifts = drift > np.maximum(fall, 0)
+        crosses = (cross > np.maximum(np.maximum(fall, drift), 0)) & (score[:, :-1] > 0)
+        drifts &= ~crosses
+        source = np.maximum.accumulate(np.where(drifts, 0, places), axis=1)
+        start = []
+        for side, fresh in enumerate((i, places)):
+            at = np.where(crosses, begin[side][:, :-1], np.where(falls, begin[side][:, 1:], fresh))
+            start.append(np.take_along_axis(at, source, axis=1))
+        seen = np.where(crosses, gap[:, :-1], falls | drifts | (gain[:, i] < 0))
+        own_tokens = tokens[0][:, i, None] + np.where(start[0] < i, own_tokens, 0)
+        other_tokens = before + tokens[1] - np.maximum.accumulate(np.where(start[1] < places, 0, before), axis=1)
+        top = np.maximum(settled, drift)
+        statements = np.minimum(i + 1 - start[0], places + 1 - start[1])
+        length = np.minimum(own_tokens, other_tokens)
+        sim = top * 1000 // (p.reward * np.maximum(statements, 1))
+        enough = (statements >= p.min_stmts) & (length >= p.min_tokens) & (sim >= int(p.min_sim * 1000)) & (i < size[0][:, None]) & (places < size[1][:, None])
+        for k, j in zip(*map(np.ndarray.tolist, np.nonzero(enough)), strict=True):
+            new = (statements[k, j], length[k, j], sim[k, j])
+            if best[k] is None or (held[k, 0] <= new[0] and held[k, 1] <= new[1]) or new[2] >= held[k, 2]:
+                held[k] = new
+                best[k] = (int(start[0][k, j]), i, int(start[1][k, j]), j, int(new[2]), bool(seen[k, j]))
+        score, down, gap = shifted(top), shifted(fall), shifted(seen)
+        begin = [shifted(x) for x in start]
+    return best
+
+
+def align_many(pairs: Sequence[tuple[Sequence[Statement], Sequence[Statement]]], p: CloneParams, memo: TokenMemo | None = None) -> list[Alignment | None]:
+    """Align each two units, given as statements (kind, tokens, text).  None where no span is long and similar enough."""
+    memo = memo or TokenMemo(p)
+    out: list[Alignment | None] = [None] * len(pairs)
+    whole = lambda unit: sum(len(s[1]) for s in unit)
+    chosen = [k for k, (a, b) in enumerate(pairs) if a and b and min(whole(a), whole(b)) >= p.min_tokens]
+    least = int(p.min_stmt_sim * 1000)
+    for batch in _batches([(len(pairs[k][0]), len(pairs[k][1])) for k in chosen]):
+        own = [pairs[chosen[k]] for k in batch]
+        size = tuple(np.array([len(pair[side]) for pair in own]) for side in (0, 1))
+        tokens = tuple(_padded([[len(s[1]) for s in pair[side]] for pair in own], size[side].max(), 0) for side in (0, 1))
+        places = [np.argwhere(_hopeful(a, b, p)).tolist() for a, b in own]
+        known = memo.learn({(a[i][1], b[j][1]) for (a, b), at in zip(own, places, strict=True) for i, j in at if a[i][1] != b[j][1]})
+        gain = np.full((len(own), size[0].max(), size[1].max()), -p.penalty, np.int64)
+        for k, (a, b) in enumerate(own):
+            for i, j in places[k]:
+                sim = 1000 if a[i][1] == b[j][1] else known[a[i][1], b[j][1]]
+                if sim >= least:
+                    gain[k, i, j] = sim * p.reward // 1000
+        for k, (a, b), span in zip(batch, own, _best_spans(gain, size, tokens, p), strict=True):
+            if span:
+                a0, a1, b0, b1, sim, gap = span
+                same = a1 - a0 == b1 - b0 and all(x[2] == y[2] for x, y in zip(a[a0 : a1 + 1], b[b0 : b1 + 1], strict=True))
+                out[chosen[k]] = Alignment(a0, a1, b0, b1, sim, 2 if gap else 0 if same else 1)
+    return out
+
+
+def align(a: Sequence[Statement], b: Sequence[Statement], p: CloneParams, memo: TokenMemo | None = None) -> Alignment | None:
+    return align_many([(a, b)], p, memo)[0]

@@ -8,9 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kindred.functions.alignment import TokenMemo, align, token_similarity
+from kindred.functions.alignment import TokenMemo, align_many, token_similarities
 from kindred.params import CloneParams
 
+#: Pairs of units whose statements a task holds as Python objects at a time.
+PAIRS = 256
 FRAGMENT = "struct<from_stmt:int,to_stmt:int>"
 
 
@@ -34,20 +36,23 @@ def _div(a: Column, b: int) -> Column:
 def verified(pairs: DataFrame, units: DataFrame, p: CloneParams, keys: tuple[str, ...] = ()) -> DataFrame:
     """Pairs whose best local alignment is similar enough: keys, left_id, right_id, sim, level, weight, clone_type, a, b.
 
-    Units that are too small are dropped before the kernel; statements are compared once for each distinct pair in a task."""
-    side = lambda n: units.where(F.aggregate("stmts", F.lit(0), lambda t, s: t + F.size(s["tokens"])) >= p.min_tokens).select(*keys, F.col("unit_id").alias(f"{n}_id"), F.col("stmts").alias(f"{n}_stmts"))
+    Units that are too small are dropped before the kernel, and of a statement's text only a hash goes there.  The kernel takes
+    a batch of pairs at a time; statements are compared once for each distinct pair in a task."""
+    slim = F.transform("stmts", lambda s: F.struct(s["kind"].alias("kind"), s["tokens"].alias("tokens"), F.xxhash64(s["text"]).alias("text")))
+    large = units.where(F.aggregate("stmts", F.lit(0), lambda t, s: t + F.size(s["tokens"])) >= p.min_tokens)
+    side = lambda n: large.select(*keys, F.col("unit_id").alias(f"{n}_id"), slim.alias(f"{n}_stmts"))
     met = pairs.join(side("left"), [*keys, "left_id"]).join(side("right"), [*keys, "right_id"]).select(*keys, "left_id", "right_id", "left_stmts", "right_stmts")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo = TokenMemo(p)
         as_unit = lambda stmts: [(s["kind"], tuple(s["tokens"]), s["text"]) for s in stmts]
         for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                got = align(as_unit(row.left_stmts), as_unit(row.right_stmts), p, memo)
-                if got:
-                    out.append((*(getattr(row, k) for k in keys), row.left_id, row.right_id, got.sim // 10, got.clone_type, got.a_from, got.a_to, got.b_from, got.b_to))
-            yield pd.DataFrame(out, columns=[*keys, "left_id", "right_id", "sim", "clone_type", "a_from", "a_to", "b_from", "b_to"])
+            for lo in range(0, len(pdf), PAIRS):
+                part = pdf.iloc[lo : lo + PAIRS]
+                found = align_many([(as_unit(x), as_unit(y)) for x, y in zip(part["left_stmts"], part["right_stmts"], strict=True)], p, memo)
+                hit = [k for k, got in enumerate(found) if got]
+                got = pd.DataFrame([(g.sim // 10, g.clone_type, g.a_from, g.a_to, g.b_from, g.b_to) for g in found if g], columns=["sim", "clone_type", "a_from", "a_to", "b_from", "b_to"])
+                yield pd.concat((part[[*keys, "left_id", "right_id"]].iloc[hit].reset_index(drop=True), got), axis=1)
 
     kinds = {f.name: f.dataType.simpleString() for f in met.schema.fields}
     schema = ", ".join([f"{k} {kinds[k]}" for k in (*keys, "left_id", "right_id")] + ["sim int", "clone_type int", "a_from int", "a_to int", "b_from int", "b_to int"])
@@ -61,6 +66,6 @@ def statement_similarities(pairs: DataFrame, p: CloneParams) -> DataFrame:
 
     @F.pandas_udf("int")
     def sim(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([token_similarity(tuple(x), tuple(y), p) for x, y in zip(a, b, strict=True)])
+        return pd.Series(token_similarities([(tuple(x), tuple(y)) for x, y in zip(a, b, strict=True)], p))
 
     return pairs.withColumn("sim", sim("a", "b"))

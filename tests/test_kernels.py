@@ -1,12 +1,12 @@
 """Alignment and hash kernels against hand-checked values and plain recurrences."""
 
 import random
-from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
 
-from kindred.functions.alignment import TokenMemo, align, similarity_bound, token_similarity
+from kindred.functions.alignment import TokenMemo, _hopeful, align, align_many, token_similarities, token_similarity
 from kindred.functions.hashing import coefficients, gram_hashes, minhash, wrap_mod
 from kindred.params import CODE, CloneParams
 
@@ -22,11 +22,20 @@ def test_token_similarity(x, y, sim):
     assert token_similarity(tuple(x), tuple(y)) == sim
 
 
-def test_bound_never_below_the_similarity():
-    rng = random.Random(1)
-    for _ in range(1500):
-        a, b = (tuple(rng.randrange(6) for _ in range(rng.randint(1, 9))) for _ in range(2))
-        assert similarity_bound(Counter(a), Counter(b), len(a), len(b)) >= token_similarity(a, b)
+def test_bound_rules_out_nothing_similar():
+    rng, p = random.Random(1), CloneParams(min_stmt_sim=0.5)
+    for _ in range(200):
+        x, y = ([(0, tuple(rng.randrange(5) for _ in range(rng.randint(0, 9))), "") for _ in range(3)] for _ in range(2))
+        hopeful = _hopeful(x, y, p)
+        assert all(hopeful[i, j] or token_similarity(x[i][1], y[j][1], p) < 500 for i in range(3) for j in range(3))
+
+
+def test_align_many_in_small_batches(monkeypatch):
+    monkeypatch.setattr("kindred.functions.alignment.CELLS", 60)
+    rng, p = random.Random(9), CloneParams(min_tokens=3, min_stmts=1)
+    draw = lambda: [(rng.randrange(2), tuple(rng.randrange(3) for _ in range(rng.randint(0, 4))), str(rng.randrange(2))) for _ in range(rng.randint(0, 7))]
+    pairs = [(draw(), draw()) for _ in range(120)]
+    assert align_many(pairs, p) == [align(a, b, p) for a, b in pairs]
 
 
 @pytest.mark.parametrize(
@@ -49,49 +58,88 @@ def test_alignment_rejects_short_units():
     assert align(U[:4], U[:4], CODE) is None
 
 
-def plain(a, b, p):
-    """The recurrence on whole matrices, as written down."""
-    n, m = len(a), len(b)
-    full = lambda v: [[v] * (m + 1) for _ in range(n + 1)]
-    h, pp, q, a0, b0, g, at, bt = full(0), full(0), full(0), full(0), full(0), full(True), full(0), full(0)
-    g[0][0] = False
-    best, old = None, (0, 0, 0)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            s, t, gap, top = i - 1, j - 1, False, 0
-            pp[i][j] = max(h[i - 1][j] - 1333, pp[i - 1][j] - 333)
-            if pp[i][j] > top:
-                s, t, gap, top = a0[i - 1][j], b0[i - 1][j], True, pp[i][j]
-            q[i][j] = max(h[i][j - 1] - 1333, q[i][j - 1] - 333)
-            if q[i][j] > top:
-                s, t, gap, top = a0[i][j - 1], b0[i][j - 1], True, q[i][j]
-            c = h[i - 1][j - 1]
-            sim = token_similarity(a[i - 1][1], b[j - 1][1]) if a[i - 1][0] == b[j - 1][0] else -1
-            if sim >= 800:
-                c += 2 * sim
-            else:
-                c, gap = c - 333, True
-            if c > top:
-                if h[i - 1][j - 1] > 0:
-                    s, t, gap = a0[i - 1][j - 1], b0[i - 1][j - 1], g[i - 1][j - 1]
-                top = c
-            h[i][j], a0[i][j], b0[i][j], g[i][j] = top, s, t, gap
-            at[i][j] = len(a[i - 1][1]) + (at[i - 1][j] if s < i - 1 else 0)
-            bt[i][j] = len(b[j - 1][1]) + (bt[i][j - 1] if t < j - 1 else 0)
-            new = min(i - s, j - t), min(at[i][j], bt[i][j])
-            if new[0] >= p.min_stmts and new[1] >= p.min_tokens:
-                r = top * 1000 // (2000 * new[0])
-                if r >= 800 and ((old[0] <= new[0] and old[1] <= new[1]) or r >= old[2]):
-                    best, old = (s, i - 1, t, j - 1, r, gap), (*new, r)
+def by_definition(one, two, p):
+    """The best span, each cell's score and state worked out from the definition by memoised recursion from the end."""
+    open_, more = p.gap_open + p.gap_extend, p.gap_extend
+
+    @lru_cache(None)
+    def fall(i, j):
+        return 0 if i < 1 or j < 1 else max(score(i - 1, j) - open_, fall(i - 1, j) - more)
+
+    @lru_cache(None)
+    def drift(i, j):
+        return 0 if i < 1 or j < 1 else max(score(i, j - 1) - open_, drift(i, j - 1) - more)
+
+    @lru_cache(None)
+    def gain(i, j):
+        (kind, x, _), (other, y, _) = one[i - 1], two[j - 1]
+        sim = alike(x, y, p) if kind == other else -1
+        return sim * p.reward // 1000 if sim >= int(p.min_stmt_sim * 1000) else -p.penalty
+
+    @lru_cache(None)
+    def score(i, j):
+        return 0 if i < 1 or j < 1 else max(0, fall(i, j), drift(i, j), score(i - 1, j - 1) + gain(i, j))
+
+    @lru_cache(None)
+    def state(i, j):
+        """(start in one, start in two, gap seen)"""
+        gaps = max(0, fall(i, j), drift(i, j))
+        if score(i - 1, j - 1) + gain(i, j) > gaps and score(i - 1, j - 1) > 0:
+            return state(i - 1, j - 1)
+        if gaps == 0:
+            return i - 1, j - 1, gain(i, j) < 0
+        return (*(state(i - 1, j) if fall(i, j) == gaps else state(i, j - 1))[:2], True)
+
+    @lru_cache(None)
+    def tokens(i, j, side):
+        unit, at, back = ((one, i, (i - 1, j)), (two, j, (i, j - 1)))[side]
+        return len(unit[at - 1][1]) + (tokens(*back, side) if min(i, j) > 0 and min(back) > 0 and state(i, j)[side] < at - 1 else 0)
+
+    best, held = None, (0, 0, 0)
+    for i in range(1, len(one) + 1):
+        for j in range(1, len(two) + 1):
+            s, t, gap = state(i, j)
+            now = min(i - s, j - t), min(tokens(i, j, 0), tokens(i, j, 1)), 0
+            if now[0] < p.min_stmts or now[1] < p.min_tokens:
+                continue
+            now = (*now[:2], score(i, j) * 1000 // (p.reward * now[0]))
+            if now[2] >= int(p.min_sim * 1000) and (now[2] >= held[2] or (now[0] >= held[0] and now[1] >= held[1])):
+                best, held = (s, i - 1, t, j - 1, now[2], gap), now
     return best
 
 
-def test_alignment_matches_the_plain_recurrence():
+def alike(x, y, p):
+    """Global similarity, by memoised recursion over what is left of both sequences and the move that came before."""
+
+    @lru_cache(None)
+    def rest(i, j, move):
+        if i == len(x) and j == len(y):
+            return 0
+        ways = []
+        if i < len(x) and j < len(y):
+            ways.append((p.reward if x[i] == y[j] else -p.penalty) + rest(i + 1, j + 1, ""))
+        for name, di, dj in (("down", 1, 0), ("across", 0, 1)):
+            if i + di <= len(x) and j + dj <= len(y):
+                edge = min(i, j) == 0 < i + j  # a gap that opens the alignment goes on in either direction
+                ways.append(rest(i + di, j + dj, name) - p.gap_extend - (0 if move == name or edge else p.gap_open))
+        return max(ways)
+
+    return max(0, rest(0, 0, "")) * 1000 // (p.reward * min(len(x), len(y))) if x and y else 0
+
+
+def test_token_similarities_match_the_definition():
+    rng, p = random.Random(7), CloneParams()
+    draw = lambda: tuple(rng.randrange(4) for _ in range(rng.randint(0, 9)))
+    pairs = [(draw(), draw()) for _ in range(400)] + [(t := draw(), t), ((), ()), ((1,) * 70, (1,) * 80)]
+    assert token_similarities(pairs, p).tolist() == [alike(x, y, p) for x, y in pairs]
+
+
+def test_alignment_matches_the_definition():
     rng, p = random.Random(5), CloneParams(min_tokens=4, min_stmts=2)
     for _ in range(300):
         one = [(rng.randrange(2), tuple(rng.randrange(3) for _ in range(rng.randint(1, 4))), str(rng.randrange(3))) for _ in range(rng.randint(2, 9))]
         two = [s if rng.random() < 0.7 else (rng.randrange(2), (rng.randrange(3),) * rng.randint(1, 3), "x") for s in one if rng.random() < 0.85] or one
-        got, want = align(one, two, p, TokenMemo(p)), plain(one, two, p)
+        got, want = align(one, two, p, TokenMemo(p)), by_definition(one, two, p)
         assert (got is None) == (want is None)
         if got:
             assert (got.a_from, got.a_to, got.b_from, got.b_to, got.sim, got.clone_type == 2) == want
