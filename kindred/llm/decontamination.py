@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kindred.llm.common import frugal, hash_spans, mix, table, text_chunks
 
@@ -277,10 +278,11 @@ def benchmark_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str
 
 
 def parts_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
-    """The benchmark as parts that each fit a broadcast: one as a rule, more (dealt by hash of the id) where it is large."""
+    """The benchmark as parts that each fit a broadcast: one as a rule, more (dealt by hash of the row, so items of one id
+    spread) where it is large."""
     n, size = benchmark.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()
     parts = max(1, -(-2 * n // BROADCAST_ITEMS), -(-2 * size // BROADCAST_BYTES)) if n > BROADCAST_ITEMS or size > BROADCAST_BYTES else 1
-    return [benchmark] if parts == 1 else [benchmark.where(F.pmod(F.xxhash64(id_col), F.lit(parts)) == k) for k in range(parts)]
+    return [benchmark] if parts == 1 else [benchmark.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == k) for k in range(parts)]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -304,7 +306,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     cols[0] = pa.array([items.ids[leak["item"]] for _, leak in found], item_arrow)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(take), *cols], names=["id", "item_id", *[f.name for f in LEAK][1:]])
 
-        item_arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
+        item_arrow = to_arrow_type(benchmark.schema[item_col].dataType)
         found = rows.mapInArrow(run, f"id {id_type}, item_id {item_type}, matched bigint, windows bigint, share double, longest bigint, slots bigint, swapped bigint, position bigint")
         out = found if out is None else out.unionByName(found)
     return out
