@@ -1,4 +1,5 @@
-"""Candidate pairs: a self equi-join by band and hash, over one representative of each token sequence."""
+"""Candidate pairs: a self equi-join by band and hash.  ``representatives`` finds one unit of each token sequence, for callers that
+want classes rather than all pairs of copies."""
 
 from __future__ import annotations
 

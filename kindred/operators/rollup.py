@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -73,6 +73,15 @@ def biggest(clones: DataFrame, own: DataFrame, units: DataFrame, p: CloneParams)
     return big.join(own.select("clone_id", "unit_id", "cc"), "clone_id").join(units.select("unit_id", "folder"), "unit_id").select("rank", "n_units", "clone_cc", "folder", "unit_id", "cc")
 
 
+def named(report: DataFrame, units: DataFrame) -> DataFrame:
+    """A report on units with the class and method of each: of a source file's unit its qualified class and its name, of another
+    one its folder and id."""
+    if "class" in units.columns:
+        names = units.select("unit_id", F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "class").alias("class"), F.regexp_extract("signature", r"([^.()]+)\(", 1).alias("method"))
+        return report.join(names, "unit_id")
+    return report.withColumns({"class": F.col("folder"), "method": F.col("unit_id").cast("string")})
+
+
 def counters(units: DataFrame, pairs: DataFrame, clones: DataFrame, p: CloneParams) -> DataFrame:
     """One row: units, lines, pairs, clones, and clones over each report threshold."""
     u = units.agg(F.count("*").alias("n_units"), F.coalesce(F.sum("n_newlines"), F.lit(0)).alias("n_newlines"))
@@ -110,7 +119,24 @@ def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
 
 
 def export_rows(pairs: DataFrame, units: DataFrame) -> DataFrame:
-    """The pair export: folder, unit, from, to of both sides."""
-    side = lambda n: units.select(F.col("unit_id").alias(f"{n}_id"), F.col("folder").alias(f"{n}_folder"))
+    """The pair export: folder, file, first and last line of both sides.
+
+    Units of source files give the last part of their folder, their file's name and lines of the source; units of text tables,
+    which have neither, give folder, id and statement numbers."""
+    source = "path" in units.columns
+    last = lambda c: F.substring_index(F.regexp_replace(c, "/+$", ""), "/", -1)
+
+    def side(n: str) -> DataFrame:
+        own = [F.col("unit_id").alias(f"{n}_id"), (last("folder") if source else F.col("folder")).alias(f"{n}_folder")]
+        if source:
+            own += [last("path").alias(f"{n}_file"), F.transform("stmts", lambda s: s["from_line"]).alias(f"{n}_starts"), F.transform("stmts", lambda s: s["to_line"]).alias(f"{n}_ends")]
+        else:
+            own.append(F.col("unit_id").cast("string").alias(f"{n}_file"))
+        return units.select(*own)
+
+    def at(n: str, span: str, end: str) -> Column:
+        number = F.col(f"{span}.{end}_stmt")
+        return (F.get(f"{n}_starts" if end == "from" else f"{n}_ends", number) if source else number + 1).alias(f"{n}_{end}")
+
     met = pairs.join(side("left"), "left_id").join(side("right"), "right_id")
-    return met.select("left_folder", F.col("left_id").cast("string").alias("left_file"), (F.col("a.from_stmt") + 1).alias("left_from"), (F.col("a.to_stmt") + 1).alias("left_to"), "right_folder", F.col("right_id").cast("string").alias("right_file"), (F.col("b.from_stmt") + 1).alias("right_from"), (F.col("b.to_stmt") + 1).alias("right_to"))
+    return met.select(*(c for n, span in (("left", "a"), ("right", "b")) for c in (F.col(f"{n}_folder"), F.col(f"{n}_file"), at(n, span, "from"), at(n, span, "to"))))

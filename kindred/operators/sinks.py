@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from kindred.operators.rollup import biggest, export_rows
+from kindred.operators.rollup import biggest, export_rows, named
 from kindred.params import CloneParams
 
 
@@ -15,8 +15,10 @@ def write_pairs(pairs: DataFrame, units: DataFrame, path: str) -> None:
 
 
 def write_biggest(clones: DataFrame, own: DataFrame, units: DataFrame, p: CloneParams, path: str) -> None:
-    names = {"rank": "CloneIdx", "n_units": "#Fragments", "clone_cc": "Max CC", "folder": "Class", "unit_id": "Method", "cc": "CC"}
-    biggest(clones, own, units, p).withColumnsRenamed(names).write.mode("overwrite").option("header", True).csv(path)
+    """The report of large and complex clones, with a header."""
+    # The report's column names.
+    names = {"rank": "CloneIdx", "n_units": "#Fragments", "clone_cc": "Max CC", "class": "Class", "method": "Method", "cc": "CC"}
+    named(biggest(clones, own, units, p), units).select(*names).withColumnsRenamed(names).write.mode("overwrite").option("header", True).csv(path)
 
 
 def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:

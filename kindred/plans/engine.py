@@ -11,7 +11,7 @@ from kindred.operators import candidates, merge, rollup, sinks, sketch, verify,
 from kindred.operators.components import components
 from kindred.params import TEXT, CloneParams
 from kindred.sources import text
-from kindred.storage import materialise
+from kindred.storage import materialise, stored
 
 
 @dataclass
@@ -73,6 +73,7 @@ class CloneEngine:
 
     def candidates(self, units: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
         """Candidate pairs among units that are large enough (within ``keys`` where given)."""
+        units = stored(units, "units")  # tokens are made once, not again by every condition on them
         tokens = self.unit_tokens(text.large_enough(units, self.params), keys)
         bands = materialise(sketch.bands(tokens.select("unit_id", "tokens"), self.params), "bands")
         if keys:
@@ -80,12 +81,13 @@ class CloneEngine:
         return candidates.candidates(bands, keys)
 
     def verified(self, units: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+        units = stored(units, "units")
         return materialise(verify.verified(self.candidates(units, keys), units, self.params, keys), "verified")
 
     # the two pipelines
     def search(self, units: DataFrame, pairs: DataFrame | None = None) -> Clones:
         """Clone classes with their rollups, ranked.  ``pairs``: verified pairs from elsewhere."""
-        units = materialise(units, "units")
+        units = stored(units, "units")
         pairs, frags = merge.merged(self.verified(units) if pairs is None else pairs, units, self.params)
         spans = materialise(rollup.unit_spans(pairs, frags), "spans")
         own = materialise(rollup.clone_units(spans, units), "clone-units")
@@ -95,7 +97,7 @@ class CloneEngine:
     def export(self, units: DataFrame, path: str | None = None) -> DataFrame:
         """Verified pairs within each partition, as export rows; written as CSV where a path is given.  All partitions run at
         once, as the partition is part of every join's key."""
-        units = materialise(units, "units")
+        units = stored(units, "units")
         pairs = self.verified(units, ("partition_key",))
         if path:
             sinks.write_pairs(pairs, units, path)

@@ -28,7 +28,7 @@ def _units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Units of enough size, and their pairs at Jaccard 0.8 as clone pairs over whole units."""
-    units = materialise(text.large_enough(_units(spark, sf_dir), P), "units")
+    units = materialise(text.large_enough(materialise(_units(spark, sf_dir), "units"), P), "units")
     tokens = CloneEngine(spark, P).unit_tokens(units)
     sets = sketch.shingles(tokens, P.shingle).select("unit_id", "shingles")
     bands = materialise(sketch.bands(tokens, P), "bands")
@@ -65,7 +65,7 @@ def stmt_explode(spark, sf_dir):
 
 
 def unit_size_filter(spark, sf_dir):
-    return text.large_enough(_units(spark, sf_dir), P).select("unit_id", "n_stmts", "num_tokens", "cc")
+    return text.large_enough(materialise(_units(spark, sf_dir), "units"), P).select("unit_id", "n_stmts", "num_tokens", "cc")
 
 
 def token_dictionary(spark, sf_dir):
@@ -132,7 +132,7 @@ def fragment_table(spark, sf_dir):
 
 def fragment_overlap_join(spark, sf_dir):
     """Edges of the reference overlap between fixed windows of the statements of each unit."""
-    units = text.large_enough(_units(spark, sf_dir), P)
+    units = text.large_enough(materialise(_units(spark, sf_dir), "units"), P)
     w = units.select("unit_id", F.explode(F.sequence(F.lit(0), (F.col("n_stmts") - 1).cast("int"), F.lit(3))).alias("s")).select("unit_id", (F.col("unit_id") * 100000 + F.col("s")).alias("pair_id"), F.col("s").alias("from_stmt"), (F.col("s") + 2 + F.col("s") % 4).alias("to_stmt"))
     return merge.overlap_edges(w, P)
 
@@ -234,7 +234,7 @@ def clone_type_distribution(spark, sf_dir):
 
 def aligned_clones_ranked(spark, sf_dir):
     e = CloneEngine(spark, P)
-    return e.search(text.large_enough(_units(spark, sf_dir), P)).clones
+    return e.search(text.large_enough(materialise(_units(spark, sf_dir), "units"), P)).clones
 
 
 def token_alignment(spark, sf_dir):

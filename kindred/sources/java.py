@@ -117,8 +117,8 @@ class Parser:
         return len(self.t) - 1
 
     def parse(self) -> list[Unit]:
-        if "package" in (t.kind for t in self.t[:400]):
-            k = next(k for k, t in enumerate(self.t) if t.kind == "package")
+        k = next((k for k, t in enumerate(self.t) if t.kind == "package"), None)  # a keyword: it stands nowhere else
+        if k is not None:
             end = next((j for j in range(k, len(self.t)) if self.t[j].kind == ";"), k)
             self.package = "".join(t.text for t in self.t[k + 1 : end])
         while self.i < len(self.t):
@@ -328,7 +328,7 @@ class Parser:
 
     def _after_new(self) -> bool:
         depth = 0
-        for k in range(self.i - 1, max(-1, self.i - 400), -1):
+        for k in range(self.i - 1, -1, -1):
             kind = self.t[k].kind
             if kind == ")":
                 depth += 1

@@ -33,14 +33,18 @@ def units(docs: DataFrame, params: CloneParams = TEXT, id_col: str = "doc_id", t
     """(unit_id, partition_key, folder, n_newlines, stmts): stmts is an array of (kind, tokens, text, cc), in order."""
     most = params.max_stmt_tokens
 
-    def runs(s: Column) -> Column:
-        own = words(s)
-        first = F.sequence(F.lit(0), F.greatest(F.floor((F.size(own) - 1) / most), F.lit(0)).cast("int"))
-        return F.transform(first, lambda i: F.struct(F.lit(0).alias("kind"), F.slice(F.transform(own, token_id), i * most + 1, most).alias("tokens"), F.array_join(F.slice(own, i * most + 1, most), " ").alias("text"), F.when(i == 0, F.length(s) - F.length(F.replace(s, F.lit(",")))).otherwise(0).alias("cc")))
+    def runs(x: Column) -> Column:
+        first = F.sequence(F.lit(0), F.greatest(F.floor((F.size(x["own"]) - 1) / most), F.lit(0)).cast("int"))
+        return F.transform(first, lambda i: F.struct(F.lit(0).alias("kind"), F.slice(x["ids"], i * most + 1, most).alias("tokens"), F.array_join(F.slice(x["own"], i * most + 1, most), " ").alias("text"), F.when(i == 0, x["commas"]).otherwise(0).alias("cc")))
+
+    def worded(piece: Column) -> Column:
+        """Each piece with its words and their ids, worked out once."""
+        own = F.transform(piece, lambda s: F.struct(words(s).alias("own"), (F.length(s) - F.length(F.replace(s, F.lit(",")))).alias("commas")))
+        return F.transform(own, lambda x: F.struct(x["own"].alias("own"), F.transform(x["own"], token_id).alias("ids"), x["commas"].alias("commas")))
 
     text = F.col(text_col)
     lit = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c else F.lit("")
-    return docs.where(text.isNotNull()).select(F.col(id_col).alias("unit_id"), lit(partition_col).alias("partition_key"), lit(folder_col).alias("folder"), F.regexp_count(text, F.lit("\n")).cast("bigint").alias("n_newlines"), F.flatten(F.transform(pieces(text), runs)).alias("stmts"))
+    return docs.where(text.isNotNull()).select(F.col(id_col).alias("unit_id"), lit(partition_col).alias("partition_key"), lit(folder_col).alias("folder"), F.regexp_count(text, F.lit("\n")).cast("bigint").alias("n_newlines"), F.flatten(F.transform(worded(pieces(text)), runs)).alias("stmts"))
 
 
 def sized(units_df: DataFrame) -> DataFrame:

@@ -31,6 +31,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` as a written table: as it is where ``materialise`` made it, else written now."""
+    return df if hasattr(df, "stored_at") else materialise(df, label)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialise`` wrote and nothing reads any more."""
     for df in tables:

@@ -8,12 +8,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kindred.operators import candidates, evaluate, merge, rollup, verify, views
+from kindred.operators import candidates, evaluate, merge, rollup, sinks, verify, views
 from kindred.operators.components import components
 from kindred.params import CODE, TEXT
-from kindred.plans import queries
+from kindred.plans import java_queries, queries
 from kindred.plans.engine import CloneEngine
-from kindred.sources import files, text
+from kindred.sources import files, java, text
 
 HERE = os.path.dirname(os.path.abspath(__file__))
 SF = "/root/testdata/sf0.001"
@@ -101,6 +101,25 @@ def test_java_pipeline(spark, tmp_path):
     assert engine.export(units).count() == 3
 
 
+def test_java_queries(spark):
+    for name, query in java_queries.QUERIES.items():
+        got = query(spark, SF)
+        want = duckdb.sql(java_queries.ORACLE_SQL[name])
+        assert sorted(map(tuple, got.collect())) == sorted(want.fetchall()) and got.columns == want.columns, name
+
+
+def test_java_package_and_anonymous_class_far_in(tmp_path):
+    far = "/** doc */ @A " * 500 + "package far.off; class X { void m() { f(new Y(" + "1 + " * 500 + "1) { void inner() { return; } }); } }"
+    assert {(u.package, u.cls, u.name) for u in java.Parser(far).parse()} == {("far.off", "X", "m"), ("far.off", "X.ANON1", "inner")}
+
+
+def test_report_of_java_clones(spark, tmp_path):
+    found = java_queries._search(spark)
+    sinks.write_biggest(found.clones, found.clone_units, found.units, CODE.but(big_units=1), str(tmp_path / "big"))
+    lines = sorted(line for part in (tmp_path / "big").glob("part-*") for line in part.read_text().splitlines())
+    assert {x for x in lines} == {"CloneIdx,#Fragments,Max CC,Class,Method,CC", "0,2,4,alpha.Totals,add,4", "0,2,4,beta.Sums,total,4"}
+
+
 def test_views(spark):
     items = spark.createDataFrame([(k, k % 4) for k in range(10)], "rank long, weight int")
     assert rows(views.bins(items, 10, 4), "bar", "first", "last", "n_items") == [(0, 0, 2, 3), (1, 3, 5, 3), (2, 6, 8, 3), (3, 9, 9, 1)]
