@@ -8,7 +8,7 @@ id); labels and folds are the only columns besides text and id that are read, an
 
 Null and empty texts have no direction and get the sample's mean label; so does everything if all labels agree; without any
 label the score is 0.5.  Labels other than 0 and 1 (null too) teach nothing; a document labelled more than once counts once, by
-the mean of its labels (ties: 1).  Ties among neighbours go to the smaller id.  Repeated rows and further columns need no care.
+the mean of its labels (ties: 1).  Among neighbours that tie for the last place any may count.  Repeated rows and further columns need no care.
 """
 
 from __future__ import annotations
@@ -82,6 +82,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("y"))
     chosen = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # of rows that repeat an id the least text counts
 
     @frugal
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +92,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), batch.column(1).slice(first, end - first), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = texts.select("id", "y", "text").mapInArrow(featurise, f"id {kind}, y int, x binary").toPandas().drop_duplicates("id").sort_values("id")
+    got = texts.select("id", "y", "text").mapInArrow(featurise, f"id {kind}, y int, x binary").toPandas().sort_values("id")
     x = np.stack([np.frombuffer(b, np.float16) for b in got["x"]]).astype(np.float32) if len(got) else np.zeros((0, BUCKETS), np.float32)
     return Voter(x, got["y"].to_numpy(dtype=np.float64))
 
