@@ -51,7 +51,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing sources to target weights", mix_sources),
 ]
 
-#: Learned stages have no SQL; tests hold run() against a brute-force version.
+#: Learned stages have no SQL.  Tests hold the near-copy stage against brute force and the others against their operators, which
+#: have tests of their own; run() as a whole has no brute-force version.
 ORACLE_SQL: str | None = None
 
 
