@@ -4,13 +4,15 @@ Documents fall into cells of source x language x topic; their tokens are summed
 costs no more than its rows), and raking works on the cells alone: in each sweep the weights are scaled to the source, the
 language and the topic marginals in turn.  A cell's factor is its raked weight over its tokens; a document is kept with
 probability rate x factor, where the rate is lowered if need be so that no probability passes 1 (so none is cut and the
-marginals hold in expectation).  The draw is a hash of the id and the seed: repeatable, and the same for every partitioning.
+marginals hold in expectation).  With ``saturate`` the rate isn't lowered: cells whose probability would pass 1 are kept whole, and
+one level for all others is set so that the expected tokens are ``rate`` of all (every cell with a factor is kept whole where even
+that isn't enough).  Those others keep their raked proportions, and a rare value no longer thins out the rest.  The draw is a hash of the id and the seed: repeatable, and the same for every partitioning.
 
 Targets are tables (value, share); without one, a marginal's target is its observed shares to the power ``TEMPERATURE``.  Shares
 are scaled to the values present; a value without a share gets 0 and its documents go.  Topics are rules, the first that holds.
 
 Null sources and languages are a value of their own (``NULL_NAME``).  Null and empty texts have no token: they don't move the
-weights and are kept as their cell is (a cell without any token has factor 1).  Rows that repeat draw alike; an empty table
+weights and are kept as their cell is (a cell without any token has factor 1, and with ``saturate`` the plain rate).  Rows that repeat draw alike; an empty table
 gives an empty table; further columns stay in ``sample`` and are left out of ``probabilities``.
 
 Everything here is DataFrame operations.
@@ -70,7 +72,24 @@ def _targets(observed: dict[str, float], name: str, targets: dict[str, DataFrame
     return {v: s / whole * total if whole else 0.0 for v, s in share.items()}
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, rate: float = RATE) -> DataFrame:
+def _saturating_level(raked: DataFrame, rate: float) -> float:
+    """The level at which sum(tokens x min(1, level x factor)) is ``rate`` of all tokens, or the least that keeps every factor whole.
+
+    Each round is one aggregation to a few numbers; the level only grows, and is exact once no further cell fills up."""
+    goal = rate * (raked.agg(F.sum("tokens")).first()[0] or 0)
+    weighed = raked.where("tokens > 0 and factor > 0")
+    filled, level = -1, 0.0
+    while True:
+        full = F.col("factor") * F.lit(level) >= 1
+        n, held, rest, most = weighed.agg(F.count_if(full), F.sum(F.when(full, F.col("tokens")).otherwise(0.0)), F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("factor"))), F.max(1 / F.col("factor"))).first()
+        if not rest:
+            return most or 0.0
+        if n == filled:
+            return level
+        filled, level = n, (goal - held) / rest
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps: int = SWEEPS, rate: float = RATE, saturate: bool = False) -> DataFrame:
     """cells(source, lang, topic, tokens) with probability, after ``sweeps`` rounds over the three marginals.
 
     Sources may be many: each is one row with its few (language, topic) cells, and its factor is worked out in the row.
@@ -118,7 +137,10 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, sweeps:
             factor = {pair: f * ratio[pair[place]] for pair, f in factor.items()}
     flat = [F.lit(x) for (lang, topic), v in sorted(factor.items()) for x in (f"{lang}\n{topic}", v)]
     final = F.element_at(F.create_map(*flat) if flat else F.create_map().cast("map<string,double>"), F.concat_ws("\n", "lang", "topic"))
-    raked = materialise(in_row(last).select("source", "lang", "topic", F.when(F.col("tokens") > 0, F.col("scale") * final).otherwise(1.0).alias("factor")), "raked")
+    raked = materialise(in_row(last).select("source", "lang", "topic", "tokens", F.when(F.col("tokens") > 0, F.col("scale") * final).otherwise(1.0).alias("factor")), "raked")
+    if saturate:
+        kept = F.least(F.lit(1.0), F.col("factor") * F.lit(_saturating_level(raked, rate)))
+        return raked.select(*MARGINS, F.round(F.when(F.col("tokens") > 0, kept).otherwise(F.lit(rate)), 9).alias("probability"))
     top = raked.agg(F.max("factor")).first()[0]
     level = min(rate, 1 / top) if top else rate
     return raked.select(*MARGINS, F.round(F.col("factor") * F.lit(level), 9).alias("probability"))
@@ -129,17 +151,17 @@ def counted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("id"), *margins(docs, text=text_col), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("tokens"))
 
 
-def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def probabilities(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", saturate: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, source, lang, topic, tokens, probability and sampled."""
     rows = materialise(counted(docs, id_col, text_col), "counted")
-    odds = rake(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), targets)
+    odds = rake(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), targets, saturate=saturate)
     return rows.join(odds, list(MARGINS)).withColumn("sampled", uniform(F.col("id")) < F.col("probability"))
 
 
-def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text", saturate: bool = False) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns."""
     cells = counted(docs, id_col, text_col).groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))
-    odds = rake(cells, targets).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__probability"))
+    odds = rake(cells, targets, saturate=saturate).select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("probability").alias("__probability"))
     values = dict(zip(MARGINS, margins(docs, text=text_col), strict=True))
     keyed = docs.withColumns({f"__{m}": c for m, c in values.items()})
     return keyed.join(odds, [f"__{m}" for m in MARGINS]).where(uniform(F.col(id_col)) < F.col("__probability")).select(*docs.columns)

@@ -460,6 +460,30 @@ def test_mixing(spark):
     assert mixing.probabilities(docs.limit(0)).count() == 0
 
 
+def test_mixing_saturates(spark):
+    rows = [(i, "word " * (5 + i % 11), ["a", "a", "b"][i % 3], ["en", "fr", None][i // 3 % 3]) for i in range(900)]
+    rows += [(900 + k, "word " * 9, f"stray{k}", "en") for k in range(3)] + [(950, "", "none", "en"), (951, None, "none", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    plain, full = (mixing.probabilities(docs, saturate=on).toPandas() for on in (False, True))
+    whole = full["tokens"].sum()
+    assert (plain["tokens"] * plain["probability"]).sum() < 0.3 * whole  # one rate for all: rare sources set it
+    assert abs((full["tokens"] * full["probability"]).sum() / whole - mixing.RATE) < 1e-6 and full["probability"].max() == 1
+    assert set(full.loc[full["id"].between(900, 902), "probability"]) == {1.0} and set(full.loc[full["id"] >= 950, "probability"]) == {mixing.RATE}
+    # those below 1 keep the raked proportions, which the plain draw shows
+    both = plain.merge(full, on=["id", "tokens"], suffixes=("_p", "_f"))
+    both = both[(both["tokens"] > 0) & (both["probability_f"] < 1)]
+    scale = both["probability_f"] / both["probability_p"]
+    assert len(both) > 100 and scale.max() / scale.min() < 1 + 1e-6
+    # and those at 1 would pass it on that scale
+    top = plain.merge(full, on=["id", "tokens"], suffixes=("_p", "_f")).query("tokens > 0 and probability_f == 1")
+    assert (top["probability_p"] * scale.max() >= 1 - 1e-6).all()
+    drawn = {r["doc_id"] for r in mixing.sample(docs, saturate=True).collect()}
+    assert drawn == set(full.loc[full["sampled"], "id"])
+    lone = mixing.probabilities(docs, {"lang": spark.createDataFrame([("en", 1.0)], "value string, share double")}, saturate=True).toPandas()
+    assert set(lone.loc[lone["tokens"] > 0].groupby("lang")["probability"].max().round(6)) == {0.0, 1.0}  # what may be kept is less than the rate asks for
+    assert mixing.probabilities(docs.limit(0), saturate=True).count() == 0 and mixing.sample(docs.where("doc_id >= 950"), saturate=True).count() <= 2
+
+
 def test_mixing_reads_whole_targets(spark):
     docs = spark.createDataFrame([(i, "word " * 5, "s", ["en", "fr"][i % 2]) for i in range(400)], "doc_id long, text string, source string, lang string")
     table = spark.createDataFrame([(f"x{i}", 1.0) for i in range(5000)] + [("en", 0.7), ("fr", 0.3)], "value string, share double").coalesce(1)
