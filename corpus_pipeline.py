@@ -39,8 +39,9 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Draw documents by probabilities raked to the source, language and topic marginals."""
-    return mixing.sample(docs)
+    """Draw documents by probabilities raked to the source, language and topic marginals; half of all tokens are expected to stay,
+    however rare the rarest source is."""
+    return mixing.sample(docs, saturate=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
