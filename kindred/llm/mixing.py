@@ -167,8 +167,11 @@ def sample(docs: DataFrame, targets: dict[str, DataFrame] | None = None, id_col:
     return keyed.join(odds, [f"__{m}" for m in MARGINS]).where(uniform(F.col(id_col)) < F.col("__probability")).select(*docs.columns)
 
 
-def sampling_sql(source: str = "documents", sweeps: int = SWEEPS, rate: float = RATE) -> str:
-    """The same in DuckDB's SQL: common table expressions that end in ``drawn``."""
+def sampling_sql(source: str = "documents", sweeps: int = SWEEPS, rate: float = RATE, saturate: bool = False) -> str:
+    """The same in DuckDB's SQL: common table expressions that end in ``drawn``.
+
+    The saturating level is read off the cells in order of their factors: with the cells before it kept whole, the first that isn't
+    full itself sets it."""
     rules = " ".join(f"WHEN {c.replace('locate(', 'position_of(')} THEN '{n}'" for n, c in TOPICS)
     rules = rules.replace("position_of(' | ', text) > 0", "contains(text, ' | ')").replace("position_of('@', text) > 0", "contains(text, '@')")
     parts = [f"counted AS (SELECT doc_id AS id, coalesce(source, '{NULL_NAME}') AS source, coalesce(lang, '{NULL_NAME}') AS lang, CASE {rules} ELSE '{OTHER_TOPIC}' END AS topic, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS tokens FROM {source})"]
@@ -182,16 +185,24 @@ def sampling_sql(source: str = "documents", sweeps: int = SWEEPS, rate: float =
             name = f"w_{s}_{m}"
             parts.append(f"{name} AS MATERIALIZED (SELECT c.source, c.lang, c.topic, c.tokens, c.w * f.f AS w FROM {last} c JOIN (SELECT x.{m}, coalesce(t.target / nullif(sum(x.w), 0), 0) AS f FROM {last} x JOIN target_{m} t ON t.{m} = x.{m} GROUP BY x.{m}, t.target) f ON f.{m} = c.{m})")
             last = name
-    parts.append(f"factors AS (SELECT source, lang, topic, coalesce(w / nullif(tokens::DOUBLE, 0), 1.0) AS factor FROM {last})")
-    parts.append(f"odds AS (SELECT source, lang, topic, round(factor * (SELECT least({rate}, 1 / nullif(max(factor), 0)) FROM factors), 9) AS probability FROM factors)")
+    parts.append(f"factors AS (SELECT source, lang, topic, tokens::DOUBLE AS tokens, coalesce(w / nullif(tokens::DOUBLE, 0), 1.0) AS factor FROM {last})")
+    if saturate:
+        order = "OVER (ORDER BY factor DESC, source, lang, topic ROWS BETWEEN"
+        parts.append(f"weighed AS (SELECT factor, coalesce(sum(tokens) {order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS held, sum(tokens * factor) {order} CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM factors WHERE tokens > 0 AND factor > 0)")
+        parts.append(f"levels AS (SELECT factor, ({rate} * (SELECT sum(tokens) FROM factors) - held) / rest AS level FROM weighed)")
+        parts.append("chosen AS (SELECT coalesce((SELECT level FROM levels WHERE level * factor < 1 ORDER BY factor DESC LIMIT 1), (SELECT max(1 / factor) FROM levels), 0) AS level)")
+        parts.append(f"odds AS (SELECT source, lang, topic, round(CASE WHEN tokens > 0 THEN least(1.0::DOUBLE, factor * (SELECT level FROM chosen)) ELSE {rate} END, 9) AS probability FROM factors)")
+    else:
+        parts.append(f"odds AS (SELECT source, lang, topic, round(factor * (SELECT least({rate}, 1 / nullif(max(factor), 0)) FROM factors), 9) AS probability FROM factors)")
     parts.append(f"drawn AS (SELECT c.*, o.probability, (('0x' || substr(md5('{SEED}:' || coalesce(c.id::VARCHAR, '{NULL_NAME}')), 1, 13))::BIGINT)::DOUBLE / {float(1 << 52)!r} < o.probability AS sampled FROM counted c JOIN odds o ON o.source = c.source AND o.lang = c.lang AND o.topic = c.topic)")
     return ", ".join(parts)
 
 
 def op10_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sampling probability and draw of every document, with tokens raked to tempered source, language and topic marginals."""
-    found = probabilities(table(spark, sf_dir, "documents"))
+    """Sampling probability and draw of every document, with tokens raked to tempered source, language and topic marginals; the
+    saturating draw, as in the pipeline."""
+    found = probabilities(table(spark, sf_dir, "documents"), saturate=True)
     return found.select(F.col("id").alias("doc_id"), "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"), "sampled")
 
 
-ORACLE = f"WITH {sampling_sql()} SELECT id AS doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, sampled FROM drawn"
+ORACLE = f"WITH {sampling_sql(saturate=True)} SELECT id AS doc_id, source, lang, topic, tokens, round(probability, 6) AS probability, sampled FROM drawn"
