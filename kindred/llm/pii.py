@@ -19,6 +19,8 @@ scanned one by one, whatever their ids (repeated, null); ties between kinds go t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +39,45 @@ SPACE = r"[\x20\x09-\x0D]"
 #: A whole token that holds a digit or an at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 LEAST_LENGTH = 6
+#: Matches of one text whose places are summed together.
+RUN = 256
 ROUNDS, CONFIDENCE, SUPPORT = 3, 0.8, 5
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 TOKENS = "array<struct<from:int,to:int,start:int,value:string,word_before:string,word_after:string,digit:boolean,follows:boolean>>"
 FOUND = "array<struct<start:int,value:string,left:string,right:string,part:boolean>>"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once; named inside a lambda, an expression would be worked out at every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def located(text: Column, expression: str) -> Column:
-    """array<struct<start, end, value, before, after>> of the matches: what stands between them gives their places."""
-    typed = "struct<pos:int,out:array<struct<start:int,end:int,value:string,before:string,after:string>>>"
-    pieces, matches = F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0))
-    numbered = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(pieces, i).alias("p"), F.get(pieces, i + 1).alias("q")))
-    step = lambda acc, x: F.struct(
-        (acc["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"),
-        F.concat(acc["out"], F.array(F.struct((acc["pos"] + F.length(x["p"])).alias("start"), (acc["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["p"].alias("before"), x["q"].alias("after")))).alias("out"),
+    """array<struct<start, end, value, before, after>> of the matches: what stands between them gives their places.
+
+    Places are summed within runs of ``RUN`` matches first, then over the runs, as an array grows by being copied."""
+    spans = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+    none = lambda kind: F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out"))
+
+    def span(x: Column, at: Column) -> Column:
+        start = at + F.length(x["p"])
+        return F.struct(start.alias("start"), (start + F.length(x["m"])).alias("end"), x["m"].alias("value"), x["p"].alias("before"), x["q"].alias("after"))
+
+    def step(acc: Column, x: Column) -> Column:
+        return F.struct((acc["pos"] + F.length(x["p"]) + F.length(x["m"])).alias("pos"), F.concat(acc["out"], F.array(span(x, acc["pos"])).cast(spans)).alias("out"))
+
+    def join(acc: Column, run: Column) -> Column:
+        moved = F.transform(run["out"], lambda s: F.struct((s["start"] + acc["pos"]).alias("start"), (s["end"] + acc["pos"]).alias("end"), s["value"].alias("value"), s["before"].alias("before"), s["after"].alias("after")))
+        return F.struct((acc["pos"] + run["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved.cast(spans))).alias("out"))
+
+    numbered = _once(
+        F.struct(F.split(text, expression, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(expression), F.lit(0)).alias("matches")),
+        lambda v: F.transform(v["matches"], lambda m, i: F.struct(m.alias("m"), F.get(v["pieces"], i).alias("p"), F.get(v["pieces"], i + 1).alias("q"))),
     )
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>").alias("out")).cast(typed)
-    return F.aggregate(numbered, start, lambda acc, x: step(acc, x).cast(typed), lambda acc: acc["out"])
+    inner = f"struct<pos:int,out:{spans}>"
+    outer = f"struct<pos:int,out:array<{spans}>>"
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(RUN)), lambda i: F.aggregate(F.slice(v, i, F.lit(RUN)), none(spans).cast(inner), lambda acc, x: step(acc, x).cast(inner)))
+    return F.aggregate(_once(numbered, runs), none(f"array<{spans}>").cast(outer), lambda acc, run: join(acc, run).cast(outer), lambda acc: F.flatten(acc["out"]))
 
 
 def _digits(value: Column) -> Column:

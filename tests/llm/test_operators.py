@@ -372,6 +372,9 @@ def test_pii(spark):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(800)] + ["1 " * 20000, "a." * 9000 + "@" + "b.c" * 9000, "+" + "1(" * 8000, "9" * 30000, None, ""]
     got = {r["id"]: r["w"] for r in pii.find_pii(frame(spark, texts)).select("id", pii.written(F.col("base")).alias("w")).collect()}
     assert all(got[i] == base_pii(t or "") for i, t in enumerate(texts))
+    long = [" ".join(f"u{i}@m.de, 10.0.{i % 300}.1 +49 30 {1000000 + i}" for i in range(n)) for n in (1, 255, 256, 257, 6000)]  # runs of matches
+    spans = {r["id"]: r["w"] for r in pii.scanned(frame(spark, long)).select("id", pii.written(F.col("base")).alias("w")).collect()}
+    assert all(spans[i] == base_pii(t) for i, t in enumerate(long))
     told = [f"Mail me: user{i}@mail.com now. Ref {i} ok" for i in range(12)] + ["Mail me: weird(at)7host now", "call number 123456 soon"]
     ids = [*range(12), 50, 50, 60, None, None]
     texts = [*told[:13], "short", told[13], told[12], "also short"]
@@ -477,6 +480,11 @@ def test_mixing_saturates(spark):
     # and those at 1 would pass it on that scale
     top = plain.merge(full, on=["id", "tokens"], suffixes=("_p", "_f")).query("tokens > 0 and probability_f == 1")
     assert (top["probability_p"] * scale.max() >= 1 - 1e-6).all()
+    c, told = duckdb.connect(), docs.toPandas()  # noqa: F841
+    for on, found in ((False, plain), (True, full)):
+        want = c.sql(f"WITH {mixing.sampling_sql('told', saturate=on)} SELECT id, probability, sampled FROM drawn").df().sort_values("id")
+        have = found.sort_values("id")
+        assert np.allclose(want["probability"], have["probability"], rtol=0, atol=1e-8) and (want["sampled"].to_numpy() == have["sampled"].to_numpy()).all()
     drawn = {r["doc_id"] for r in mixing.sample(docs, saturate=True).collect()}
     assert drawn == set(full.loc[full["sampled"], "id"])
     lone = mixing.probabilities(docs, {"lang": spark.createDataFrame([("en", 1.0)], "value string, share double")}, saturate=True).toPandas()
