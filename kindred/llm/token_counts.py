@@ -2,8 +2,8 @@
 
 For a fixed merge list, the encoding of a prefix ends in exactly one token ``t`` such that the encoding of what stands
 before ``t`` ends in a token that does not merge across into ``t``.  So count[i] = count[i - len(t)] + 1, and one pass over
-the prefixes of a word gives the count of each of them.  Words recur, so the tables are kept by word; the count of any
-prefix of a text is the running sum up to its last whole word plus one entry of that word's table.
+the prefixes of a word gives the count of each of them.  Words recur, so the tables are kept by word; the table of a text
+is made of its words' tables, each on top of the count up to it, and holds the count at every prefix.
 
 Null reads as the empty text (0 tokens).  Prefixes are those of the text as the vocabulary normalises it (for a text that
 is already in normal form: of the text itself).  Special strings inside a text count as one token each, as the library's
@@ -14,9 +14,12 @@ only the columns it names.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -77,14 +80,14 @@ class PrefixCounter:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = set(model["vocab"])
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.vocab))
-        #: What tokens within a word begin with; true where it is a token itself.
-        self.begins: dict[str, bool] = {}
+        #: What tokens begin with: 1 where it is a token within a word, 2 where it is one that ends a word (without the suffix).
+        self.kinds: dict[str, int] = {}
         for token in self.vocab:
-            if not (self.suffix and token.endswith(self.suffix)):
-                for k in range(1, len(token)):
-                    self.begins.setdefault(token[:k], False)
-                self.begins[token] = True
+            ends = token.endswith(self.suffix)
+            body = token[: len(token) - len(self.suffix)] if ends else token
+            for k in range(1, len(body)):
+                self.kinds.setdefault(body[:k], 0)
+            self.kinds[body] = self.kinds.get(body, 0) | (2 if ends and self.suffix else 3 if ends else 1)
         self.library = Tokenizer.from_file(path)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -92,19 +95,33 @@ class PrefixCounter:
         self.pieces = regex.compile(piece)
         #: A piece and the blanks before it: as these cover the text, their lengths add up to where pieces end.
         self.spaced = regex.compile(rf"\s*+(?:{piece})")
-        self.chars = _byte_chars()
+        #: No piece that is longer is one of the pattern's literals, so it is a run of one class and so are its prefixes.
+        self.literal = max(map(len, literals[1].split("|"))) if (literals := regex.fullmatch(r"((?:'\w+\|)*)(?:\[[^\[\]]*\]\+?\|?)+", piece)) else 1 << 62
+        self.chars = dict(enumerate(_byte_chars()))
         self.fits: dict[tuple[str, str], bool] = {}
-        self.piece_count = _Memo(lambda piece: self.whole("".join(self.chars[b] for b in piece.encode())))
-        self.spaced_count = _Memo(lambda piece: self.piece_count[self.pieces.search(piece)[0]])
-        self.mapped_count = _Memo(self.whole)
+        self.piece_count = _Memo(lambda piece: self.table(self.spelled(piece))[-1])
+        self.piece_steps = _Memo(self._inside)
+        self.spaced_steps = _Memo(self._spaced)
+        self.mapped_count = _Memo(lambda word: self.table(word)[-1])
+
+    def spelled(self, piece: str) -> str:
+        """The bytes of a piece as the vocabulary writes them."""
+        return piece.encode().decode("latin-1").translate(self.chars)
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: apply the lowest-ranked merge until none applies."""
+        rank, none = self.rank, len(self.rank)
         while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            pair = (symbols[best], symbols[best + 1])
-            if pair not in self.rank:
+            ranks = [rank.get(x, none) for x in pairwise(symbols)]
+            least = min(ranks)
+            if least == none:
                 break
+            if ranks.count(least) == 1:
+                k = ranks.index(least)
+                symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+                continue
+            best = ranks.index(least)
+            pair = (symbols[best], symbols[best + 1])
             out, i = [], 0
             while i < len(symbols):
                 if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
@@ -130,48 +147,36 @@ class PrefixCounter:
         known = self.fits[key] = self.merged((self.symbols(left) if left else []) + self.symbols(right)) == ([left, right] if left else [right])
         return known
 
-    def inner(self, word: str) -> tuple[list[str], list[int]]:
-        """For each prefix of ``word`` that is not a word of its own: the last token and the count."""
-        last, counts, open_at = [""], [0], []
-        begins, fits = self.begins, self.fits
+    def table(self, word: str) -> list[int]:
+        """table[i]: tokens of the first i bytes of ``word`` standing as a word of its own (table[0] = 0)."""
+        # last, counts: of each prefix that is not a word of its own, the last token and the count
+        last, counts, out, open_at = [""], [0], [0], []
+        kinds, fits, suffix = self.kinds, self.fits, self.suffix
         for end in range(1, len(word) + 1):
             open_at.append(end - 1)
-            still, found = [], False
+            still, found, whole = [], False, 0
             for start in open_at:
                 token = word[start:end]
-                kind = begins.get(token)
+                kind = kinds.get(token)
                 if kind is None:
                     continue
                 still.append(start)
-                if kind and not found:
+                if kind & 1 and not found:
                     fit = fits.get((last[start], token))
                     if fit or fit is None and self.follows(last[start], token):
                         last.append(token)
                         counts.append(counts[start] + 1)
                         found = True
+                if kind & 2 and not whole:
+                    ended = token + suffix
+                    fit = fits.get((last[start], ended))
+                    if fit or fit is None and self.follows(last[start], ended):
+                        whole = counts[start] + 1
+            if not whole:
+                raise ValueError(f"the vocabulary can't spell {word[:end]!r}")
+            out.append(whole)
             open_at = still
-        return last, counts
-
-    def ended(self, word: str, end: int, last: list[str], counts: list[int]) -> int:
-        """The count of the first ``end`` bytes standing as a word of its own."""
-        vocab, fits = self.vocab, self.fits
-        for start in range(max(0, end - self.longest), end):
-            token = word[start:end] + self.suffix
-            if token in vocab:
-                fit = fits.get((last[start], token))
-                if fit or fit is None and self.follows(last[start], token):
-                    return counts[start] + 1
-        raise ValueError(f"the vocabulary can't spell {word[:end]!r}")
-
-    def table(self, word: str) -> list[int]:
-        """table[i]: tokens of the first i bytes of ``word`` standing as a word of its own (table[0] = 0)."""
-        last, counts = self.inner(word)
-        return [0] + [self.ended(word, end, last, counts) for end in range(1, len(word) + 1)]
-
-    def whole(self, word: str) -> int:
-        """The last entry of the table, without the others."""
-        last, counts = self.inner(word[:-1])
-        return self.ended(word, len(word), last, counts) if word else 0
+        return out
 
     def _segments(self, text: str) -> Iterator[str | None]:
         """The text between special strings; None for each of these."""
@@ -201,67 +206,85 @@ class PrefixCounter:
                 total += sum(self.mapped_count[p] for p, _ in self.library.pre_tokenizer.pre_tokenize_str(normal))
         return total
 
-    def _walk(self, text: str | None) -> Iterator[tuple[int, int, str | None]]:
-        """(start, end, piece) in the normalised text; the piece is None for a special string."""
-        base = 0
-        for segment in self._segments(text or ""):
-            if segment is None:
-                length = next(len(s) for s in self.special if (text or "").startswith(s, base)) if text else 0
-                yield base, base + length, None
-                base += length
-                continue
-            normal = self._normal(segment)
-            if normal is None:
-                normal = self.library.normalizer.normalize_str(segment)
-            for m in self.pieces.finditer(normal):
-                yield base + m.start(), base + m.end(), m[0]
-            base += len(normal)
-
-    def stored(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
-        """The stored form: where each piece ends, the count of the prefix up to there, and the length of the normalised text."""
+    def _spaced(self, found: str) -> bytes | list[int]:
+        """As ``_inside`` for a piece with the blanks before it, which add nothing."""
+        piece = self.pieces.search(found)[0]
+        own, blanks = self.piece_steps[piece], len(found) - len(piece)
+        return bytes(blanks) + own if isinstance(own, bytes) else [0] * blanks + own
+
+    def _inside(self, piece: str) -> bytes | list[int]:
+        """What each character of a piece adds to the count of the prefix that it ends (less than 0 where it completes a longer
+        token): signed bytes, or a list where these are too small."""
+        word = self.spelled(piece)
+        table, at = self.table(word), 0
+        if len(piece) > self.literal:
+            counts = table if len(word) == len(piece) else [table[k] for k in accumulate((len(c.encode()) for c in piece), initial=0)]
+        else:
+            counts = [0]
+            for k, c in enumerate(piece, 1):
+                at += len(c.encode())
+                parts = [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(piece[:k])]
+                counts.append(table[at] if parts == [word[:at]] else sum(map(self.mapped_count.__getitem__, parts)))
+        steps = list(map(sub, counts[1:], counts))
+        try:
+            return struct.pack(f"{len(steps)}b", *steps)
+        except struct.error:
+            return steps
+
+    def _cut(self, before: str, special: str) -> list[int]:
+        """As ``_inside`` for a special string after ``before``: a prefix that ends within it is plain text."""
+        own = self.count(before)
+        return np.diff([0, *(self.count(before + special[:k]) - own for k in range(1, len(special))), 1]).tolist()
+
+    def filled(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The prefix table: the count of each prefix of 1, 2, ... characters of the normalised text, and where each piece ends."""
         ends: list[np.ndarray] = []
-        steps: list[np.ndarray] = []
+        steps: list[bytes | list[int]] = []
         base = at = 0
-        text = text or ""
+        text, last = text or "", ""
         for segment in self._segments(text):
             if segment is None:
-                size = next(len(s) for s in self.special if text.startswith(s, at))
-                ends.append(np.array([base + size])), steps.append(np.ones(1, np.int64))
-                base, at = base + size, at + size
+                special = next(s for s in self.special if text.startswith(s, at))
+                steps.append(self._cut(last, special)), ends.append(np.array([base + len(special)]))
+                base, at, last = base + len(special), at + len(special), ""
                 continue
             at += len(segment)
             normal = self._normal(segment)
-            if normal is None:
-                normal = self.library.normalizer.normalize_str(segment)
-                found = self.library.pre_tokenizer.pre_tokenize_str(normal)
-                ends.append(base + np.array([e for _, (_, e) in found], np.int64))
-                steps.append(np.array([self.mapped_count[p] for p, _ in found], np.int64))
-            else:
+            if normal is not None:
                 found = self.spaced.findall(normal)
                 own = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
-                if normal[int(own[-1]) if len(own) else 0 :].strip():  # something that is neither a blank nor a piece
-                    found, own = zip(*((m[0], m.end()) for m in self.pieces.finditer(normal)), strict=True)
-                ends.append(base + np.asarray(own, np.int64))
-                steps.append(np.fromiter(map(self.spaced_count.__getitem__, found), np.int64, len(found)))
+                done = int(own[-1]) if len(own) else 0
+                spans = [m.span() for m in self.pieces.finditer(normal)] if normal[done:].strip() else None  # something that is neither a blank nor a piece
+            else:
+                normal = self.library.normalizer.normalize_str(segment)
+                spans = [span for _, span in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+            if spans is None:
+                steps += map(self.spaced_steps.__getitem__, found)
+                last = found[-1] + normal[done:] if found else ""
+            else:
+                done = 0
+                for lo, hi in spans:
+                    steps += bytes(lo - done), self.piece_steps[normal[lo:hi]]
+                    done = hi
+                own = np.array([hi for _, hi in spans], np.int64)
+                last = normal[spans[-1][0] :] if spans else ""
+            steps.append(bytes(len(normal) - done))
+            ends.append(base + own)
             base += len(normal)
-        none = np.zeros(0, np.int64)
-        return np.concatenate(ends or [none]), np.cumsum(np.concatenate(steps or [none])), base
+        try:
+            each = np.frombuffer(b"".join(steps), np.int8)
+        except TypeError:
+            each = np.concatenate([np.frombuffer(x, np.int8) if isinstance(x, bytes) else np.array(x, np.int64) for x in steps])
+        return np.cumsum(each, dtype=np.int64), np.concatenate(ends or [np.zeros(0, np.int64)])
+
+    def stored(self, text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of the prefix table: where each piece ends, the count of the prefix up to there, and the length of the normalised text."""
+        counts, ends = self.filled(text)
+        return ends, counts[ends - 1], len(counts)
 
     def prefixes(self, text: str | None) -> list[int]:
         """The count of each prefix of 0, 1, ... characters of the normalised text."""
-        out, total = [0], 0
-        for start, end, piece in self._walk(text):
-            out += [total] * (start + 1 - len(out))
-            if piece is None:
-                out += [self.count("".join(x)) + total for x in ((text or "")[start : start + k] for k in range(1, end - start))]
-                total += 1
-                out.append(total)
-                continue
-            inside = [sum(self.piece_count[p] for p in self.pieces.findall(piece[:k])) for k in range(1, len(piece) + 1)]
-            out += [total + x for x in inside]
-            total += inside[-1]
-        length = len(self.normalised(text))
-        return out + [total] * (length + 1 - len(out))
+        return [0, *self.filled(text)[0].tolist()]
 
     def normalised(self, text: str | None) -> str:
         """The text whose prefixes are counted: each segment in normal form, special strings as they are."""
@@ -278,19 +301,13 @@ class PrefixCounter:
 
     def longest_within(self, text: str | None, budget: int) -> int:
         """Characters of the longest prefix of the normalised text with at most ``budget`` tokens, without a new encoding."""
-        return self.within(text, *self.stored(text), budget)
+        return within(self.filled(text)[0], budget)
+
 
-    def within(self, text: str | None, ends: np.ndarray, counts: np.ndarray, length: int, budget: int) -> int:
-        """As ``longest_within``, from the stored form: only the piece that the budget cuts is looked at."""
-        k = int(np.searchsorted(counts, budget, side="right"))
-        if k == len(counts):
-            return length
-        total = int(counts[k - 1]) if k else 0
-        start, _, piece = next(x for i, x in enumerate(self._walk(text)) if i == k)
-        if piece is None:
-            return start
-        inside = (sum(self.piece_count[p] for p in self.pieces.findall(piece[:j])) for j in range(1, len(piece) + 1))
-        return start + max([0, *(j for j, c in enumerate(inside, 1) if total + c <= budget)])
+def within(counts: np.ndarray, budget: int) -> int:
+    """As ``longest_within``, from the prefix table."""
+    fits = np.flatnonzero(counts <= budget)
+    return int(fits[-1]) + 1 if len(fits) else 0
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -305,16 +322,27 @@ def unpacked(stored: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(stored, f"<u{stored[0]}", offset=1).astype(np.int64))
 
 
+def packed_table(counts: np.ndarray) -> bytes:
+    """As ``packed`` for a prefix table, whose steps may be negative."""
+    steps = np.diff(counts, prepend=0)
+    width = next(w for w in (1, 2, 4, 8) if not len(steps) or int(np.abs(steps).max()) < 1 << (8 * w - 1))
+    return bytes([width]) + steps.astype(f"<i{width}").tobytes()
+
+
+def unpacked_table(stored: bytes) -> np.ndarray:
+    """The table that ``packed_table`` wrote: the count of each prefix of 1, 2, ... characters."""
+    return np.cumsum(np.frombuffer(stored, f"<i{stored[0]}", offset=1), dtype=np.int64)
+
+
 @lru_cache(maxsize=4)
 def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
 def token_prefixes(docs: DataFrame, tokenizer: str | None = None, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_bytes, n_tokens, within (characters of the longest prefix of at most ``limit`` tokens)
-    and the prefix table, piece_ends and piece_counts (``packed``): where each piece ends and the count of the prefix up to there,
-    of which n_tokens is the last.  The count at any other prefix is one of these plus an entry of that word's table
-    (``PrefixCounter.prefixes``).
+    """One row per row of ``docs``: id, n_bytes, n_tokens, within (characters of the longest prefix of at most ``limit`` tokens),
+    piece_ends and piece_counts (``packed``: where each piece ends and the count of the prefix up to there), and prefix_counts
+    (``packed_table``): the count of every prefix, a step for each character of the normalised text.  The other counts are entries of it.
 
     An empty table gives an empty table.  ``tokenizer`` is a path that every executor has (the vocabulary package's by default).
     """
@@ -325,19 +353,18 @@ def token_prefixes(docs: DataFrame, tokenizer: str | None = None, limit: int = L
         c = counter(path)
         for batch in batches:
             for first, end, _, offsets in text_chunks(batch.column(1)):
-                rows: list[tuple[int, int, bytes, bytes]] = []
+                rows: list[tuple[int, int, bytes, bytes, bytes]] = []
                 for text in batch.column(1).slice(first, end - first).to_pylist():
-                    ends, counts, length = c.stored(text)
-                    n = int(counts[-1]) if len(counts) else 0
-                    rows.append((n, length if n <= limit else c.within(text, ends, counts, length, limit), packed(ends), packed(counts)))
-                tokens, within, ends, counts = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(tokens, pa.int64()), pa.array(within, pa.int64()), pa.array(ends, pa.binary()), pa.array(counts, pa.binary())], names=["id", "n_bytes", "n_tokens", "within", "piece_ends", "piece_counts"])
+                    counts, ends = c.filled(text)
+                    rows.append((int(counts[-1]) if len(counts) else 0, within(counts, limit), packed(ends), packed(counts[ends - 1]), packed_table(counts)))
+                tokens, fits, ends, counts, tables = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, end - first), pa.array(np.diff(offsets)), pa.array(tokens, pa.int64()), pa.array(fits, pa.int64()), *(pa.array(x, pa.binary()) for x in (ends, counts, tables))], names=["id", "n_bytes", "n_tokens", "within", "piece_ends", "piece_counts", "prefix_counts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, within bigint, piece_ends binary, piece_counts binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, n_tokens bigint, within bigint, piece_ends binary, piece_counts binary, prefix_counts binary")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text, from its stored prefix table, which comes along; ``within`` answers the truncation question."""
     out = token_prefixes(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "within", "piece_ends", "piece_counts")
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"), "within", "piece_ends", "piece_counts", "prefix_counts")

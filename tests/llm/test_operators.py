@@ -350,6 +350,22 @@ def test_token_counts(spark):
     assert token_counts.token_prefixes(frame(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_token_counts_at_every_prefix(spark):
+    from tokenizers import Tokenizer
+
+    path = token_counts.vocabulary_path()
+    library, own = Tokenizer.from_file(path), token_counts.PrefixCounter(path)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    texts = ["", "Unbelievably  reconstructed,\nisn't it? they'll", "a!<|endoftext|>b <|startoftext|>", "日本語 “quoted” é٣" + "=" * 70, " trailing  "]
+    rows = token_counts.token_prefixes(frame(spark, texts), limit=5).orderBy("id").collect()
+    for r, text in zip(rows, texts, strict=True):
+        normal, counts = own.normalised(text), token_counts.unpacked_table(r["prefix_counts"]).tolist()
+        assert counts == [count(normal[:k]) for k in range(1, len(normal) + 1)], text
+        assert r["n_tokens"] == count(text) and r["within"] == max(k for k, c in enumerate([0, *counts]) if c <= 5)
+    wide = np.array([1, 400, 2, 1 << 40])
+    assert token_counts.unpacked_table(token_counts.packed_table(wide)).tolist() == wide.tolist()
+
+
 def base_pii(x):
     def luhn(digits):
         total = 0
