@@ -28,9 +28,15 @@ def coefficients() -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+def _residues(w: np.ndarray) -> np.ndarray:
+    """Non-negative remainders of 32-bit integers, which stay 32-bit: the product may wrap around, and the difference back."""
+    with np.errstate(over="ignore"):
+        return w - w // np.int32(MODULUS) * np.int32(MODULUS)
+
+
 def wrap_mod(x: np.ndarray) -> np.ndarray:
     """Wrap to a signed 32-bit integer, then the non-negative remainder."""
-    return np.mod(x.astype(np.int64).astype(np.int32).astype(np.int64), MODULUS)
+    return _residues(x.astype(np.int64).astype(np.int32)).astype(np.int64)
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -50,12 +56,13 @@ def minhash(shingles: np.ndarray, n: int) -> np.ndarray:
     """n minima over the distinct shingles; an empty set gives the largest 32-bit integer throughout."""
     if not len(shingles):
         return np.full(n, (1 << 31) - 1, np.int64)
-    r = coefficients()[:n]
-    out = np.full(n, 1 << 62, np.int64)
-    for k in range(0, len(shingles), 4096):
+    # only the lower halves of the factors tell in a product's lower half
+    r, own = coefficients()[:n].astype(np.int32), np.asarray(shingles).astype(np.int64).astype(np.int32)
+    out = np.full(n, (1 << 31) - 1, np.int32)
+    for k in range(0, len(own), 512):
         with np.errstate(over="ignore"):
-            out = np.minimum(out, wrap_mod(r[:, None] * shingles[None, k : k + 4096]).min(1))
-    return out
+            out = np.minimum(out, _residues(r[:, None] * own[None, k : k + 512]).min(1))
+    return out.astype(np.int64)
 
 
 def band_hashes(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:

@@ -179,3 +179,13 @@ def test_taken_is_the_fold_over_cells():
         for rows, at in _taken(enough, statements, length, sim, held):
             found[rows] = at
         assert (found == last).all() and (held == want).all()
+
+
+def test_minhash_wraps_and_reduces_as_whole_numbers_do():
+    modulus = 99999989
+    plain = lambda x: ((x + (1 << 31)) % (1 << 32) - (1 << 31)) % modulus
+    edges = [0, 1, -1, modulus, -modulus, (1 << 31) - 1, -(1 << 31), 1 << 31, (1 << 62) + 7]
+    assert wrap_mod(np.array(edges)).tolist() == [plain(x) for x in edges]
+    shingles = [random.Random(k).randrange(modulus) for k in range(1100)]
+    got = minhash(np.array(shingles), 20)
+    assert got.dtype == np.int64 and got.tolist() == [min(plain(r * s) for s in shingles) for r in coefficients()[:20].tolist()]
