@@ -12,7 +12,8 @@ Hamming distance that is at most the symmetric difference, and drops most false
 
 Work within a bucket stays linear where copies are many: a set is compared first with the bucket's least member it meets most
 often; members already in one component need no more comparison.  Only buckets that still hold several components are searched
-further, in tiles of bounded size: first along a few spanning forests of nearest pairs, then all that is left between components.
+further, in tiles of bounded size: first along a few spanning forests of nearest pairs, of each set's fullest buckets and then of
+all, then all that is left between components.
 So all classes are exact while pairs inside a class are not expanded.
 
 Null, empty and blank texts have no shingle and link with nothing; texts with fewer words than a shingle are one shingle.  Rows
@@ -39,6 +40,10 @@ BITS = 1024
 TILE = 2048
 #: Spanning forests of a tile's components that are verified before all pairs between what is left.
 FORESTS = 3
+#: Buckets of each set, the fullest, that are searched before all are.
+FULLEST = 4
+#: Rows of a bucket up to which all its pairs are compared in one step.
+AT_ONCE = 64
 #: Keys that a task holds before it gives them out, and how many sets it must then hold of a key to lead them itself.
 HELD, HOT = 1 << 19, 64
 #: Ids that are broadcast to pick texts (16 bytes each); more meet the texts in a shuffle join.
@@ -341,6 +346,9 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
             return
         x = np.frombuffer(b"".join(g["sketch"]), np.uint64).reshape(len(n), -1)
         same = g["ti"][0] == g["tj"][0]
+        if same and len(n) <= AT_ONCE:
+            yield from few(comp, n, fp, x)
+            return
         by_comp = lambda rows: rows[np.argsort(comp[rows], kind="stable")]
         cuts = lambda rows: np.flatnonzero(np.concatenate(([True], comp[rows][1:] != comp[rows][:-1])))
         left, right = by_comp(np.flatnonzero(tile == g["ti"][0])), by_comp(np.flatnonzero(tile == g["tj"][0]))
@@ -352,37 +360,59 @@ def between_components(rows: DataFrame, num: int, nearest: bool) -> DataFrame:
         joints: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for lo, hi in zip(ends[:-1], ends[1:], strict=True):
             own = comp[left[lo]]
-            other = cr > own if same else cr != own
+            since = np.searchsorted(cr, own, side="right") if same else 0  # within a tile, each pair of components once
+            xo, no, other = xr[since:], nr[since:], cr[since:] != own
             if not other.any():
                 continue
             best, which = np.full(len(right), far), np.zeros(len(right), np.int64)
+            late_best, late_which = best[since:], which[since:]
             for k in range(lo, hi, 16):
                 rows = left[k : min(k + 16, hi)]
-                apart = np.bitwise_count(xr[None] ^ x[rows][:, None]).sum(2, dtype=np.int64)
-                nl = n[rows][:, None]
-                ok = other[None] & (apart <= (100 - num) * (nr[None] + nl) // (100 + num)) & (np.minimum(nr[None], nl) * 100 >= np.maximum(nr[None], nl) * num)
+                apart = np.bitwise_count(xo[None] ^ x[rows][:, None]).sum(2, dtype=np.int64)
+                ok = other[None] & allowed(apart, no[None], n[rows][:, None])
                 if nearest:
                     apart = np.where(ok, apart, far)
                     at = apart.argmin(0)
-                    least = apart[at, np.arange(len(right))]
-                    better = least < best
-                    best[better], which[better] = least[better], rows[at[better]]
+                    least = apart[at, np.arange(len(no))]
+                    better = least < late_best
+                    late_best[better], late_which[better] = least[better], rows[at[better]]
                 elif ok.any():
                     i, j = np.nonzero(ok)
-                    yield fp[rows[i]], fp[right[j]]
+                    yield fp[rows[i]], fp[right[since + j]]
             if nearest and (best < far).any():
                 hit = np.flatnonzero((best == np.repeat(np.minimum.reduceat(best, start), size)) & (best < far))
                 hit = hit[np.unique(np.repeat(np.arange(len(start)), size)[hit], return_index=True)[1]]
                 joints.append((which[hit].astype(np.int32), right[hit].astype(np.int32), best[hit].astype(np.int32)))
         if joints:
-            a, b, weight = (np.concatenate(part) for part in zip(*joints, strict=True))
-            vertex = np.unique(comp, return_inverse=True)[1]
-            for _ in range(forests):
-                kept = forest(vertex[a], vertex[b], weight, len(vertex))
-                yield fp[a[kept]], fp[b[kept]]
-                a, b, weight = (np.delete(part, kept) for part in (a, b, weight))
-                if not len(a):
-                    break
+            yield from spanning(comp, fp, *(np.concatenate(part) for part in zip(*joints, strict=True)))
+
+    def allowed(apart: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        return (apart <= (100 - num) * (na + nb) // (100 + num)) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * num)
+
+    def few(comp: np.ndarray, n: np.ndarray, fp: np.ndarray, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The search of a bucket of few rows."""
+        a, b = np.nonzero(comp[:, None] < comp[None])
+        apart = np.bitwise_count(x[a] ^ x[b]).sum(1, dtype=np.int64)
+        ok = allowed(apart, n[a], n[b])
+        if not ok.any():
+            return
+        a, b, apart = a[ok], b[ok], apart[ok]
+        if not nearest:
+            yield fp[a], fp[b]
+            return
+        order = np.lexsort((apart, comp[b], comp[a]))
+        a, b, apart = a[order], b[order], apart[order]
+        new = np.concatenate(([True], (comp[a][1:] != comp[a][:-1]) | (comp[b][1:] != comp[b][:-1])))
+        yield from spanning(comp, fp, a[new], b[new], apart[new])
+
+    def spanning(comp: np.ndarray, fp: np.ndarray, a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        vertex = np.unique(comp, return_inverse=True)[1]
+        for _ in range(forests):
+            kept = forest(vertex[a], vertex[b], weight, len(vertex))
+            yield fp[a[kept]], fp[b[kept]]
+            a, b, weight = (np.delete(part, kept) for part in (a, b, weight))
+            if not len(a):
+                break
 
     @frugal
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -455,8 +485,10 @@ def set_classes(docs: DataFrame, width: int, num: int) -> tuple[DataFrame, DataF
     often = met.where("fp != leader").groupBy("fp", "leader").agg(F.count("*").alias("c"))
     first = often.groupBy("fp").agg(F.max_by("leader", F.struct("c", "leader")).alias("leader")).select(F.least("fp", "leader").alias("a"), F.greatest("fp", "leader").alias("b")).distinct()
     labels = _linked(wanted.select("fp", F.col("fp").alias("comp")), near_enough(first, sets, num), sets, num)
-    for nearest in (True, False):
-        pairs = materialise(between_components(_tiled(_open_buckets(met, labels), distinct), num, nearest), "pairs")
+    # A large family meets in as many buckets as its sets share blocks: most of it is joined in a few, so the others find little anew.
+    for fullest, nearest in ((True, True), (False, True), (False, False)):
+        rows = _open_buckets(met, labels)
+        pairs = materialise(between_components(_tiled(_fullest(rows) if fullest else rows, distinct), num, nearest), "pairs")
         labels = _linked(labels, near_in_place(pairs, sets, num), sets, num)
         discard(pairs)
     classes = materialise(distinct.select("fp", "rep").join(labels, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp")), "classes")
@@ -495,6 +527,12 @@ def _open_buckets(met: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(several, "key")
 
 
+def _fullest(rows: DataFrame) -> DataFrame:
+    """Of rows(key, fp, comp, size), each set in the ``FULLEST`` buckets only that hold most rows."""
+    own = rows.groupBy("fp", "comp").agg(F.slice(F.sort_array(F.collect_set(F.struct("size", "key")), asc=False), 1, FULLEST).alias("own"))
+    return own.select("fp", "comp", F.explode("own").alias("own")).select("own.key", "fp", "comp", "own.size")
+
+
 def _tiled(rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """Each row once for every pair of tiles that its tile is part of, pairs together and sorted."""
     tiles = F.ceil(F.col("size") / TILE).cast("int")

@@ -184,6 +184,45 @@ def test_jaccard_join(spark, monkeypatch):
     assert jaccard_join.jaccard_classes(frame(spark, ["x"]).limit(0), 4, 85).count() == 0
 
 
+def test_jaccard_search_of_a_large_family(spark, monkeypatch):
+    """Sets that share most of their blocks meet in as many buckets; these must not all find the same pairs again."""
+    rng = random.Random(5)
+    family = [[f"w{k}" for k in range(300)]]
+    for _ in range(199):
+        words = list(rng.choice(family))
+        words[rng.randrange(300)] = f"x{rng.randrange(1 << 30)}"
+        family.append(words)
+    texts = [" ".join(words) for words in family]
+    made = spark.sparkContext.accumulator(0)
+    search = jaccard_join.between_components
+
+    def counted_search(rows, *args):
+        plain = type(rows).mapInPandas
+
+        def counting(self, run, *rest):
+            def counted(frames):
+                for pdf in run(frames):
+                    made.add(len(pdf))
+                    yield pdf
+
+            return plain(self, counted, *rest)
+
+        with monkeypatch.context() as m:
+            m.setattr(type(rows), "mapInPandas", counting)
+            return search(rows, *args)
+
+    monkeypatch.setattr(jaccard_join, "between_components", counted_search)
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_classes(frame(spark, texts), 5, 80).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert got == {i: c for i, (_, c) in jaccard_brute(dict(enumerate(texts)), 5, 80).items()}
+    assert made.value <= 12 * len(texts), made.value
+
+
 def test_sketches_bound_differences():
     rng = np.random.default_rng(1)
     bands = jaccard_join.Bands(85)
