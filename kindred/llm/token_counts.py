@@ -80,14 +80,21 @@ class PrefixCounter:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = set(model["vocab"])
         self.rank = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
-        #: What tokens begin with: 1 where it is a token within a word, 2 where it is one that ends a word (without the suffix).
-        self.kinds: dict[str, int] = {}
+        # what tokens begin with: 1 where it is a token within a word, 2 where it is one that ends a word (without the suffix).
+        kinds: dict[str, int] = {}
         for token in self.vocab:
             ends = token.endswith(self.suffix)
             body = token[: len(token) - len(self.suffix)] if ends else token
             for k in range(1, len(body)):
-                self.kinds.setdefault(body[:k], 0)
-            self.kinds[body] = self.kinds.get(body, 0) | (2 if ends and self.suffix else 3 if ends else 1)
+                kinds.setdefault(body[:k], 0)
+            kinds[body] = kinds.get(body, 0) | (2 if ends and self.suffix else 3 if ends else 1)
+        #: These as a trie: by character, the kind, what may follow, and the token within a word and at its end.
+        self.trie: dict[str, tuple[int, dict, str, str]] = {}
+        follow = {"": self.trie}
+        for body in sorted(kinds, key=len):
+            if body:
+                follow[body] = {}
+                follow[body[:-1]][body[-1]] = kinds[body], follow[body], body, body + self.suffix
         self.library = Tokenizer.from_file(path)
         self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special_split = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -151,16 +158,17 @@ class PrefixCounter:
         """table[i]: tokens of the first i bytes of ``word`` standing as a word of its own (table[0] = 0)."""
         # last, counts: of each prefix that is not a word of its own, the last token and the count
         last, counts, out, open_at = [""], [0], [0], []
-        kinds, fits, suffix = self.kinds, self.fits, self.suffix
-        for end in range(1, len(word) + 1):
-            open_at.append(end - 1)
+        trie, fits = self.trie, self.fits
+        for end, char in enumerate(word, 1):
+            open_at.append((end - 1, trie))
             still, found, whole = [], False, 0
-            for start in open_at:
-                token = word[start:end]
-                kind = kinds.get(token)
-                if kind is None:
+            for start, node in open_at:
+                step = node.get(char)
+                if step is None:
                     continue
-                still.append(start)
+                kind, more, token, ended = step
+                if more:
+                    still.append((start, more))
                 if kind & 1 and not found:
                     fit = fits.get((last[start], token))
                     if fit or fit is None and self.follows(last[start], token):
@@ -168,7 +176,6 @@ class PrefixCounter:
                         counts.append(counts[start] + 1)
                         found = True
                 if kind & 2 and not whole:
-                    ended = token + suffix
                     fit = fits.get((last[start], ended))
                     if fit or fit is None and self.follows(last[start], ended):
                         whole = counts[start] + 1
