@@ -114,6 +114,61 @@ def test_near_dedup_rows_of_one_id(spark):
     assert got == Counter([(None, 3, 1, False), (1, 3, 1, True), (2, 3, 1, False), (2, 3, 1, False), (2, 0, 2, True), (None, 0, None, True), (None, 0, None, True), (7, 0, 7, True), (7, 0, 7, True)])
 
 
+def cosine_brute(x, threshold):
+    """Links of each row, and the least row of its component."""
+    near = x @ x.T >= threshold
+    np.fill_diagonal(near, False)
+    parent = {i: i for i in range(len(x))}
+    find = find_roots(parent)
+    for i, j in zip(*np.nonzero(near), strict=True):
+        a, b = find(int(i)), find(int(j))
+        parent[max(a, b)] = min(a, b)
+    return near.sum(1).tolist(), [find(i) for i in range(len(x))]
+
+
+def test_dual_against_brute_force(monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRS", 5000)
+    rng = np.random.default_rng(12)
+    for dims, spread, threshold in ((64, 0.01, 0.9), (64, 0.03, 0.9), (8, 0.1, 0.9), (8, 0.2, 0.9), (3, 0.1, 0.97), (2, 0.5, 0.5), (5, 0.0, 0.9), (1, 0.0, 0.9)):
+        bases = rng.standard_normal((6, dims))
+        x = np.concatenate((rng.standard_normal((300, dims)), bases.repeat(60, 0) * math.sqrt(dims / 64) + rng.standard_normal((360, dims)) * spread, bases[:1].repeat(90, 0)))
+        x = near_dedup.unit(x[rng.permutation(len(x))])
+        reach, basis = math.sqrt(2 - 2 * threshold), near_dedup.directions(x, threshold)
+        trees = [near_dedup.Tree(part, *near_dedup.grow(part, reach), at, basis, reach) for part, at in ((x[:400], 0), (x[400:], 400))]
+        parent = np.arange(len(x))
+        for a, b in ((0, 0), (0, 1), (1, 1)):
+            near_dedup.dual(trees[a], trees[b], threshold, parent)
+        links, least = cosine_brute(x, threshold)
+        assert np.concatenate([tree.counts() for tree in trees]).tolist() == links
+        assert near_dedup._roots(parent, np.arange(len(x))).tolist() == least
+
+
+def test_near_dedup_noise_is_dropped_in_single_precision():
+    rng = np.random.default_rng(3)
+    x = near_dedup.unit(rng.standard_normal((2400, 64)))
+    x[1200:1260] = near_dedup.unit(x[:60] + rng.standard_normal((60, 64)) * 0.05)
+    reach, basis = math.sqrt(0.2), near_dedup.directions(x, 0.9)
+    one, other = (near_dedup.Tree(part, *near_dedup.grow(part, reach), at, basis, reach) for part, at in ((x[:1200], 0), (x[1200:], 1200)))
+    assert basis.shape[1] < 40 and (one.left @ other.right.T >= 1 - near_dedup.SINGLE_SLACK).mean() < 0.01
+    near_dedup.dual(one, other, 0.9, np.arange(len(x)))
+    assert one.counts().tolist() == (x[:1200] @ x[1200:].T >= 0.9).sum(1).tolist() and one.counts().sum() >= 50
+
+
+def test_near_dedup_bundles(spark, monkeypatch):
+    for name, value in (("NODE_ROWS", 40), ("CENTRES", 8), ("BUNDLE_ROWS", 150), ("BUNDLES", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((300, 10))
+    x = np.concatenate((base, base[:4].repeat(40, 0) + rng.standard_normal((160, 10)) * 0.2, base[5:6].repeat(200, 0))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(len(x), None), (len(x) + 1, [1.0, None] * 5)], "vec_id long, embedding array<float>").repartition(3)
+    links, least = cosine_brute(near_dedup.unit(x), 0.9)
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(zip(links, least, strict=True))) | {len(x): (0, len(x)), len(x) + 1: (0, len(x) + 1)}
+    gap = np.abs(np.arange(8)[:, None] - np.arange(8)[None])
+    bundle = near_dedup.bundles(np.array([3, 3, 3, 0, 7, 1]), np.array([40.0, 40, 40, 30, 20, 40]), gap, 100)
+    assert bundle.tolist() == [1, 1, 2, 0, 2, 0]  # by the chain of cells 0, 1, 3, 7, within 100 rows
+
+
 def near_copies():
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
