@@ -30,6 +30,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from kindred.llm.common import frugal, hash_spans, mix, table, text_chunks
 
 WINDOW = 8
+#: Bytes of text worked on at once: a worker's arrays are about 35 times as large.
+RUN_BYTES = 1 << 18
 LEAST_SHARE, LEAST_RUN = 0.5, 13
 BROADCAST_ITEMS, BROADCAST_BYTES = 200_000, 1 << 26
 #: Unit words that become a placeholder after a number.
@@ -299,7 +301,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items = held.value
             for batch in batches:
-                for first, _, data, offsets in text_chunks(batch.column(1)):
+                for first, _, data, offsets in text_chunks(batch.column(1), RUN_BYTES):
                     found = [(first + k, leak) for k, leaks in enumerate(leaks_of(items, data, offsets)) for leak in leaks]
                     take = pa.array([k for k, _ in found], pa.int64())
                     cols = [pa.array([leak[f.name] for _, leak in found], f.type) for f in LEAK]
@@ -313,7 +315,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that leak an item; the columns stay."""
+    """``docs`` without the rows that leak an item; the columns stay.  Rows leave run by run, so no worker holds a second batch."""
     names = docs.columns
     at = names.index(text_col)
     spark = docs.sparkSession
@@ -324,8 +326,9 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         @frugal
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = [not leaks for _, _, data, offsets in text_chunks(batch.column(at)) for leaks in leaks_of(held.value, data, offsets)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                for first, end, data, offsets in text_chunks(batch.column(at), RUN_BYTES):
+                    clean = [not leaks for leaks in leaks_of(held.value, data, offsets)]
+                    yield batch.slice(first, end - first).filter(pa.array(clean, pa.bool_()))
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -201,7 +201,7 @@ def identify(docs: DataFrame, names: list[str], model: np.ndarray, id_col: str =
 def keep_identified(docs: DataFrame, names: list[str], model: np.ndarray, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``); a null language becomes the one identified.
 
-    The columns stay as they are; rows keep their own label where they have one."""
+    The columns stay as they are; rows keep their own label where they have one.  Rows leave run by run."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     columns = docs.columns
     at, lang_at = columns.index(text_col), columns.index(lang_col) if lang_col in columns else None
@@ -209,12 +209,14 @@ def keep_identified(docs: DataFrame, names: list[str], model: np.ndarray, text_c
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pred = [p for preds in predictions(batch.column(at), names, held.value) for p in preds[0]]
-            keep = pa.array([p != "und" for p in pred], pa.bool_())
-            arrays = list(batch.columns)
-            if lang_at is not None and arrays[lang_at].null_count:
-                arrays[lang_at] = pa.array([old if old is not None else new for old, new in zip(arrays[lang_at].to_pylist(), pred, strict=True)], arrays[lang_at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(keep)
+            first = 0
+            for pred, _, _ in predictions(batch.column(at), names, held.value):
+                keep = pa.array([p != "und" for p in pred], pa.bool_())
+                arrays = list(batch.slice(first, len(pred)).columns)
+                first += len(pred)
+                if lang_at is not None and arrays[lang_at].null_count:
+                    arrays[lang_at] = pa.array([old if old is not None else new for old, new in zip(arrays[lang_at].to_pylist(), pred, strict=True)], arrays[lang_at].type)
+                yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(keep)
 
     return docs.mapInArrow(run, docs.schema)
 

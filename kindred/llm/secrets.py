@@ -163,7 +163,8 @@ def mask_text(text: str | None, spans: list[tuple[str, int, int]]) -> str | None
 
 
 def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """``docs`` with every secret masked in its text; all rows and columns stay, and the length column follows the text."""
+    """``docs`` with every secret masked in its text; all rows and columns stay, and the length column follows the text.  Rows leave
+    run by run."""
     names = docs.columns
     at = names.index(text_col)
     length_at = names.index(length_col) if length_col in names else None
@@ -171,23 +172,20 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", length_col: str | None
     @frugal
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = batch.columns
-            changed: dict[int, str] = {}
-            for first, _, data, offsets in text_chunks(columns[at]):
-                for k, spans in enumerate(scan(data, offsets)):
-                    if spans:
-                        changed[first + k] = mask_text(columns[at][first + k].as_py(), spans)
-            if changed:
-                texts = columns[at].to_pylist()
-                for k, text in changed.items():
-                    texts[k] = text
-                columns[at] = pa.array(texts, columns[at].type)
-                if length_at is not None:
-                    lengths = columns[length_at].to_pylist()
+            for first, end, data, offsets in text_chunks(batch.column(at)):
+                columns = batch.slice(first, end - first).columns
+                changed = {k: mask_text(columns[at][k].as_py(), spans) for k, spans in enumerate(scan(data, offsets)) if spans}
+                if changed:
+                    texts = columns[at].to_pylist()
                     for k, text in changed.items():
-                        lengths[k] = len(text)
-                    columns[length_at] = pa.array(lengths, columns[length_at].type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                        texts[k] = text
+                    columns[at] = pa.array(texts, columns[at].type)
+                    if length_at is not None:
+                        lengths = columns[length_at].to_pylist()
+                        for k, text in changed.items():
+                            lengths[k] = len(text)
+                        columns[length_at] = pa.array(lengths, columns[length_at].type)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.mapInArrow(run, docs.schema)
 

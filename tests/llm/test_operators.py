@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -615,6 +616,36 @@ def test_text_chunks_keep_rows_whole():
     assert b"".join(d for d, _ in got) == "".join(t or "" for t in texts).encode() and sum(len(o) - 1 for _, o in got) == 5
 
 
+def test_stages_hand_on_short_runs(spark, monkeypatch):
+    """Of a batch of 8 MB a stage hands on runs (of 2 MB at most here), all rows in order, and decontamination holds few arrays meanwhile."""
+    words = "the river runs by the old mill and nobody knows why it stops there at night".split()
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(words, k=900)) for _ in range(2000)]
+    item = "Ann has 12 apples and gives 5 apples to Bob after 3 hours of walking by the river near home."
+    texts[7], texts[1999], texts[8], texts[9], texts[10] = f"{texts[7]} {item}", item, None, "", "password = abcdefghijklmnop1"
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(2000)), "text": texts, "lang": [None, *["en"] * 1999], "n_chars": [len(t or "") for t in texts]})
+    docs = spark.createDataFrame([(1, "x", "en", 1)], "doc_id long, text string, lang string, n_chars long")
+    runs = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *_: runs.append(run) or self)
+    names, model = ["en", "xx"], np.log(np.full((2, language_id.BUCKETS), 1 / language_id.BUCKETS, np.float32))
+    language_id.keep_identified(docs, names, model)
+    decontamination.drop_leaking(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    secrets.mask_secrets(docs)
+    for k, (run, gone) in enumerate(zip(runs, ({8, 9}, {7, 1999}, set()), strict=True)):
+        list(run(iter([batch.slice(0, 20)])))
+        tracemalloc.start()
+        out, most = [], 0
+        for part in run(iter([batch])):
+            out += part.column(0).to_pylist()
+            most = max(most, part.nbytes)
+            if 10 in part.column(0).to_pylist():
+                assert (part.column(1)[out.index(10)].as_py() == texts[10]) == (k < 2) and part.column(2)[0].as_py() == ("en" if k == 0 else None)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert out == [i for i in range(2000) if i not in gone]
+        assert most < 4.5e6 and (k != 1 or peak < 16e6)
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
